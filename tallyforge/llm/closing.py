@@ -176,6 +176,6 @@ def closing_state(text: str | None) -> tuple[int, str, str]:
         kin = [x for x in before if x and (_OPTION_LINE.match(x) or _LIST_LINE.match(x)) and x.lstrip()[0].isalnum() == stripped[0].isalnum()]
         if any(x[-1].isalnum() for x in kin) or not kin and not stripped[0].isdigit():
             return WORD, "", last_word(s)
-    if len(s) > 30 and not re.search(r"[.?!,;:]", s):
+    if len(s) > 15 and not re.search(r"[.?!,;:]", s):
         return WORD, "", last_word(s)  # a text stripped of all its punctuation
     return KEY, closing_key(s), last_word(s)
