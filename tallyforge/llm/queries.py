@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import truncation
+from tallyforge.llm import evalleak, pairs, truncation
 from tallyforge.session import table
 
 
@@ -29,10 +29,43 @@ def p2_run_share(spark: SparkSession, d: str) -> DataFrame:
     return truncation.shares(truncation.truncated(stored_texts(spark, d), prompts(spark, d)))
 
 
+def teacher_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "teacher_outputs").select("row_id", "prompt", F.col("teacher_completion").alias("completion"))
+
+
+def teacher_defects(spark: SparkSession, d: str) -> DataFrame:
+    texts = stored_texts(spark, d).where(F.col("table_name") == "teacher_outputs")
+    context = table(spark, d, "teacher_outputs").select(F.col("prompt").alias("text"))
+    return pairs.defects(teacher_pairs(spark, d), truncation.truncated(texts, context))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return teacher_defects(spark, d).where("defect IS NOT NULL").select("row_id", "defect")
+
+
+def p3_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Every defect that applies, not only the first."""
+    return teacher_defects(spark, d).select("row_id", F.explode("defects").alias("defect"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return evalleak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p5_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """For each item that leaked: the documents that carry it and the largest share of it in one."""
+    found = evalleak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.round(F.max("coverage"), 6).alias("max_coverage"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p2_run_share": p2_run_share,
+        "p3_found": p3_found,
+        "p3_defects": p3_defects,
+        "p5_found": p5_found,
+        "p5_leaked_items": p5_leaked_items,
     }
 
 
