@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import evalleak, pairs, truncation
+from tallyforge.llm import evalleak, pairs, subjects, truncation
 from tallyforge.session import table
 
 
@@ -58,6 +58,19 @@ def p5_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.round(F.max("coverage"), 6).alias("max_coverage"))
 
 
+def assigned_subjects(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return subjects.assign(documents, subjects.train(documents, table(spark, d, "subject_labels"), table(spark, d, "subjects")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return assigned_subjects(spark, d).select("doc_id", F.explode("subjects").alias("subject"))
+
+
+def p6_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(table(spark, d, "documents"), assigned_subjects(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
@@ -66,6 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_defects": p3_defects,
         "p5_found": p5_found,
         "p5_leaked_items": p5_leaked_items,
+        "p6_found": p6_found,
+        "p6_composition": p6_composition,
     }
 
 
