@@ -1 +1 @@
-
+"""Structured Streaming variants of the telemetry summaries (an extension)."""
