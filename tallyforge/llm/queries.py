@@ -33,8 +33,8 @@ def daily_sketches(spark: SparkSession, d: str) -> DataFrame:
     return materialize(percentiles.sketch(latencies(spark, d), ["table_name", "dim", "key", "day"], "latency_ms"), "daily-sketches")
 
 
-def sketched_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    daily = daily_sketches(spark, d)
+def over_days(daily: DataFrame) -> DataFrame:
+    """Percentiles from daily sketches put together: by benchmark and run over all days, and by day over all runs."""
     over_time = percentiles.merge(daily, ["table_name", "dim", "key"])
     # each row has one run, so the days of all runs make the days of the table
     by_day = percentiles.merge(daily.where("dim = 'run_id'").select("table_name", F.lit("day").alias("dim"), F.col("day").alias("key"), "part", "n_null", "n_nan", "n_values", "sketch"), ["table_name", "dim", "key"])
@@ -42,7 +42,10 @@ def sketched_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return sketched_percentiles(spark, d)
+    """Of every benchmark, run and day; and of every benchmark and run on each day, where ``on_day`` is not null."""
+    daily = daily_sketches(spark, d)
+    each_day = percentiles.percentiles(daily, ["table_name", "dim", "key", "day"]).withColumnRenamed("day", "on_day")
+    return each_day.unionByName(over_days(daily).withColumn("on_day", F.lit(None).cast("string")))
 
 
 def p1_rank_error(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +53,7 @@ def p1_rank_error(spark: SparkSession, d: str) -> DataFrame:
     rows = latencies(spark, d)
     days = rows.where("dim = 'run_id'").select("table_name", F.lit("day").alias("dim"), F.col("day").cast("string").alias("key"), "latency_ms")
     values = rows.select("table_name", "dim", "key", "latency_ms").unionByName(days).where("latency_ms IS NOT NULL AND NOT isnan(latency_ms)")
-    found = sketched_percentiles(spark, d).where("n_values > 0")
+    found = over_days(daily_sketches(spark, d)).where("n_values > 0")
     one = found.groupBy("table_name", "dim", "key").agg(F.first("n_values").alias("n_values"), F.sort_array(F.collect_list(F.struct("share", "value"))).alias("p"))
     on = (values["table_name"] == one["table_name"]) & (values["dim"] == one["dim"]) & values["key"].eqNullSafe(one["key"])
     ranks = [F.struct(F.count_if(values["latency_ms"] < F.col("p")[k]["value"]).alias("below"), F.count_if(values["latency_ms"] <= F.col("p")[k]["value"]).alias("upto")) for k in range(len(percentiles.SHARES))]
