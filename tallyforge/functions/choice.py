@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 #: Explicit forms of an answer, A-D, of which the first counts.
 _FIRST = [r"(?:the\s+)?answer\s+is\s*[:\-]?\s*\(?([A-D])\)?", r"\b([A-D])\)\s", r"^([A-D])$"]
-FIRST_EXPLICIT = "(?im)(?:" + "|".join(_FIRST) + ")"
+FIRST_EXPLICIT = "(?imd)(?:" + "|".join(_FIRST) + ")"
 FIRST_STANDALONE = r"(?i)\b([A-D])\b"
 #: Explicit forms, A-E, of which the last counts.
 LAST_EXPLICIT = r"(?i)(?:answer|option|choice)\s*(?:is)?\s*[:(]?\s*([A-E])"
 LAST_STANDALONE = r"\b([A-Ea-e])\b"
 #: Strict variants: the letter must stand alone, and the article "a" is no answer.
-FIRST_EXPLICIT_STRICT = r"(?im)(?:(?:the\s+)?answer\s+is\s*[:\-]?\s*\(?([A-E])\)?(?![A-Za-z])|\b([A-E])\)\s|^([A-E])$)"
+FIRST_EXPLICIT_STRICT = r"(?imd)(?:(?:the\s+)?answer\s+is\s*[:\-]?\s*\(?([A-E])\)?(?![A-Za-z])|\b([A-E])\)\s|^([A-E])$)"
 LAST_EXPLICIT_STRICT = r"(?i)(?:answer|option|choice)\s*(?:is)?\s*[:(]?\s*([A-E])(?![A-Za-z])"
 STANDALONE_STRICT = r"\b([A-E])\b"
 

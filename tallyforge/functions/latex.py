@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.functions.numbers import close, parse_number
 
@@ -31,7 +32,7 @@ def last_box(text: str | None) -> str | None:
     return found
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _last_box(texts: pd.Series) -> pd.Series:
     return texts.map(last_box, na_action="ignore")
 
@@ -193,7 +194,7 @@ def same_value(a: str | None, b: str | None) -> bool | None:
         return None
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _same_value(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_value(x, y) for x, y in zip(a, b)], dtype="object")
 

@@ -49,7 +49,7 @@ def rate_sweep(df: DataFrame, by: Sequence[str], strict: bool = False) -> DataFr
         ok = ok & (F.coalesce(F.col("status"), F.lit(0)) == 200)
     latency = F.when(~F.isnan("latency_ms"), F.col("latency_ms"))
     tokens = F.coalesce(F.sum(F.when(ok, F.col("output_tokens"))), F.lit(0))
-    sent = F.unix_micros("sent_at") / 1e6
+    sent = F.unix_micros(F.col("sent_at").cast("timestamp")) / 1e6
     wall = F.max(sent + F.coalesce(latency, F.lit(0.0)) / 1000) - F.min(sent)
     return df.groupBy(*by).agg(
         F.count("*").alias("total_requests"),

@@ -1,7 +1,159 @@
-"""The same queries as SQL for DuckDB."""
+"""The same queries as SQL for DuckDB, over the same whole tables."""
 
 from __future__ import annotations
 
+from tallyforge.functions.confidence import HEDGES
+from tallyforge.functions.latex import REWRITES
+from tallyforge.functions.numbers import FINAL_NUMBER, FINAL_NUMBER_LENIENT
+from tallyforge.sources.readers import STDOUT_KEYS, STDOUT_MORE
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+TEACHER = "(SELECT * REPLACE (lower(trim(benchmark)) AS benchmark) FROM teacher_outputs)"
+_BOX = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)\}"
+
+
+def _last(text: str, pattern: str) -> str:
+    return f"trim(regexp_extract_all({text}, {_quoted(pattern)}, 1)[-1])"
+
+
+def _stats(value: str, keep: str, prefix: str) -> str:
+    f = f"FILTER (WHERE ({keep}) AND {value} IS NOT NULL AND NOT isnan({value}))"
+    at = ", ".join(f"round(quantile_cont({value}, {p}) {f}, 6) AS {prefix}_p{round(p * 100)}" for p in (0.5, 0.95, 0.99))
+    return f"count({value}) {f} AS {prefix}_count, round(avg({value}) {f}, 6) AS {prefix}_mean, round(min({value}) {f}, 6) AS {prefix}_min, round(max({value}) {f}, 6) AS {prefix}_max, {at}"
+
+
+def _sweep(by: str, ok: str) -> str:
+    latency = "CASE WHEN NOT isnan(latency_ms) THEN latency_ms END"
+    tokens = f"coalesce(sum(output_tokens) FILTER (WHERE {ok}), 0)"
+    wall = f"(max(epoch_us(sent_at) / 1e6 + coalesce({latency}, 0) / 1000) - min(epoch_us(sent_at) / 1e6))"
+    by_rate = "round(request_rate, 6) AS request_rate"
+    return f"""
+SELECT {by.replace('request_rate', by_rate)}, count(*) AS total_requests, count(*) FILTER (WHERE {ok}) AS successful_requests, count(*) FILTER (WHERE NOT ({ok})) AS failed_requests,
+  {tokens}::BIGINT AS total_output_tokens, round(coalesce({tokens} / nullif(max({latency}) / 1000, 0), 0), 6) AS effective_throughput_tps,
+  round(coalesce({tokens} / nullif({wall}, 0), 0), 6) AS wall_throughput_tps, {_stats('latency_ms', ok, 'latency')}, {_stats('ttfb_ms', ok, 'ttfb')}
+FROM request_measurement GROUP BY ALL"""
+
+
+def _parsed(text: str) -> str:
+    bare = f"replace(replace({text}, ',', ''), ' ', '')"
+    body = f"regexp_replace({bare}, '%$', '')"
+    number = rf"CASE WHEN regexp_full_match({body}, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') THEN TRY_CAST({body} AS DOUBLE) END"
+    return f"({number} / CASE WHEN {bare} LIKE '%\\%' ESCAPE '\\' THEN 100 ELSE 1 END)"
+
+
+def _close(a: str, b: str) -> str:
+    return f"coalesce(CASE WHEN {b} = 0 THEN abs({a}) < 1e-6 ELSE abs({a} - {b}) <= 1e-4 * greatest(abs({a}), abs({b})) END, false)"
+
+
+def _normal_form(text: str) -> str:
+    out = f"trim({text})"
+    for pattern, replacement, regular in REWRITES:
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(replacement.replace('$', chr(92)))}, 'g')" if regular else f"replace({out}, {_quoted(pattern)}, {_quoted(replacement)})"
+    return f"trim({out})"
+
+
+def _accuracy(source: str, by: str = "") -> str:
+    group = f"{by}, " if by else ""
+    return f"""
+SELECT {group}count(*) AS total_examples, count(*) FILTER (WHERE scorable) AS scorable_examples, count(*) FILTER (WHERE NOT scorable) AS unscorable_examples,
+  count(*) FILTER (WHERE scorable AND correct) AS correct, count(*) FILTER (WHERE scorable AND NOT correct) AS incorrect,
+  round(coalesce(count(*) FILTER (WHERE scorable AND correct) / nullif(count(*) FILTER (WHERE scorable), 0), 0), 6) AS accuracy,
+  round(coalesce(count(*) FILTER (WHERE scorable AND correct) / nullif(count(*) FILTER (WHERE scorable), 0), 0) * 100, 2) AS accuracy_pct,
+  round(count(*) FILTER (WHERE scorable AND correct) / count(*), 6) AS accuracy_all
+FROM {source} {f'GROUP BY {by}' if by else ''}"""
+
+
+_FIRST = r"(?im)(?:(?:the\s+)?answer\s+is\s*[:\-]?\s*\(?([A-D])\)?|\b([A-D])\)\s|^([A-D])$)"
+_SHARES = """count(*) AS total, count(*) FILTER (WHERE selected = 'teacher') AS teacher, count(*) FILTER (WHERE selected <> 'teacher') AS student, round(avg(took), 6) AS latency_mean,
+  round(quantile_cont(took, 0.5), 6) AS latency_p50, round(quantile_cont(took, 0.95), 6) AS latency_p95, round(quantile_cont(took, 0.99), 6) AS latency_p99"""
+
+
+def _wording(text: str) -> str:
+    words = rf"list_filter(regexp_split_to_array({text}, '[ \t\n\x0b\f\r]+'), lambda w: w <> '')"
+    hedges = ", ".join(_quoted(h) for h in HEDGES)
+    n = f"len({words})"
+    return f"""CASE WHEN coalesce(length({text}), 0) = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, 0.85::DOUBLE - 0.5::DOUBLE * len(list_filter({words}, lambda w: lower(w) IN ({hedges}))) / greatest({n}, 1)
+      - CASE WHEN {n} < 3 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END)) END"""
+
+
+_PAIRS = f"""(SELECT s.row_id, s.latency_ms AS s_ms, s.error AS s_error, {_wording('s.model_response')} AS conf, CASE WHEN NOT isnan(t.latency_ms) THEN t.latency_ms END AS t_ms
+  FROM gsm8k_unscorable s JOIN teacher_outputs t USING (row_id))"""
+_PER_RUN = """(SELECT r.run_id, r.request_rate, m.model_role, r.latency, r.tokens FROM (SELECT run_id, request_rate, avg(latency_ms) AS latency, sum(output_tokens)::BIGINT AS tokens FROM request_measurement
+  WHERE error IS NULL GROUP BY ALL) r JOIN run_meta m USING (run_id))"""
+_PLAIN = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _grams(table: str, key: str, text: str, n: int) -> str:
+    words = f"list_filter(string_split({_PLAIN.format(text)}, ' '), lambda w: w <> '')"
+    return f"(SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS gram FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) >= {n})"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    boxed = f"trim(regexp_extract_all(teacher_completion, {_quoted(_BOX)}, 1)[-1])"
+    first = "upper(coalesce(" + ", ".join(f"nullif(regexp_extract(teacher_completion, {_quoted(_FIRST)}, {k}), '')" for k in (1, 2, 3)) + "))"
+    stdout = "'Successful requests:      ' || p_size || chr(10) || 'Benchmark duration (s):   ' || p_retailprice || chr(10) || 'Mean TTFT (ms):   ' || p_size || '.50' || chr(10) || 'Failed requests:  0' || chr(10)"
+    keys = STDOUT_KEYS | STDOUT_MORE
+    read = {k: f"TRY_CAST(nullif(regexp_extract(value, {_quoted(keys[k])}, 1), '') AS {'BIGINT' if keys[k].endswith('(' + chr(92) + 'd+)') else 'DOUBLE'}) AS {k}" for k in ("completed_requests", "total_time_s", "mean_ttft_ms", "failed_requests", "p99_itl_ms")}
+    logits = ["list_transform(embedding[1:4], lambda x: x::DOUBLE)", "list_transform(embedding[5:8], lambda x: x::DOUBLE)"]
+    probs = [f"list_transform({x}, lambda y: exp(y) / list_sum(list_transform({x}, lambda z: exp(z))))" for x in logits]
+    entropies = [f"(1 - (-list_sum(list_transform({p}, lambda q: q * ln(q + 1e-12)))) / (ln(4) + 1e-12))" for p in probs]
+    scored_run = f"(SELECT run_id, p IS NOT NULL AS scorable, p IS NOT NULL AND {_close(_parsed('p'), _parsed('reference_answer'))} AS correct FROM (SELECT run_id, reference_answer, CASE WHEN error IS NULL THEN {_last('model_response', FINAL_NUMBER_LENIENT)} END AS p FROM gsm8k_unscorable))"
+    run_part = [f"nullif(regexp_extract('/results/' || run_id || '/run_meta.json', '/([a-z_]+(?:-gen)?)-(?:([a-z_]+)-)?(\\d{{8}}T\\d{{6}}Z)/', {k}), '')" for k in (1, 2, 3)]
+    loss = {k: f"TRY_CAST(regexp_extract(v, '''{k}'': ([-0-9.e+]+)', 1) AS DOUBLE) AS {k}" for k in ("loss", "grad_norm", "learning_rate", "epoch")}
+    return {
+        "latency_summary": f"SELECT user_id % 5 AS request_rate, count(*) AS total_requests, count(*) FILTER (WHERE event_type <> 'error') AS successful_requests, count(*) FILTER (WHERE event_type = 'error') AS failed_requests, {_stats('value', chr(39).join(['event_type <> ', 'error', '']), 'latency')} FROM events GROUP BY ALL",
+        "rate_sweep": _sweep("run_id, request_rate", "error IS NULL"),
+        "rate_sweep_strict": _sweep("request_rate", "error IS NULL AND coalesce(status, 0) = 200"),
+        "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS total_requests, count(*) FILTER (WHERE event_type = 'error') AS failed_requests, round(min(value) FILTER (WHERE event_type <> 'error'), 6) AS latency_min, round(max(value) FILTER (WHERE event_type <> 'error'), 6) AS latency_max, round(avg(value) FILTER (WHERE event_type <> 'error'), 6) AS latency_mean FROM events GROUP BY 1",
+        "event_sessions": "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n_events FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
+        "numeric_last_match": f"SELECT row_id, {_last('teacher_completion', FINAL_NUMBER)} AS answer FROM teacher_outputs",
+        "numeric_reference": f"SELECT question, trim(CASE WHEN regexp_matches(solution, {_quoted(FINAL_NUMBER)}) THEN regexp_extract(solution, {_quoted(FINAL_NUMBER)}, 1) ELSE solution END) AS reference_answer FROM eval_items",
+        "numeric_parse": f"SELECT row_id, round({_parsed(_last('model_response', FINAL_NUMBER_LENIENT))}, 6) AS value, round({_parsed('reference_answer')}, 6) AS reference FROM gsm8k_unscorable",
+        "numeric_match": f"SELECT l_linenumber, count(*) FILTER (WHERE {_close('(l_extendedprice * (1 + l_linenumber * 4e-5))', 'l_extendedprice')}) AS matched, count(*) AS total FROM lineitem GROUP BY 1",
+        "boxed_answer": f"SELECT row_id, {boxed} AS answer FROM teacher_outputs",
+        "latex_normal_form": f"SELECT row_id, {_normal_form('teacher_completion')} AS plain FROM teacher_outputs",
+        "math_match": "SELECT p_partkey, p_partkey % 3 = 0 AS matches FROM part",
+        "choice_first": f"SELECT row_id, coalesce({first}, upper(regexp_extract_all(teacher_completion, {_quoted(r'(?i)(?:^|[^A-Za-z0-9_])([A-D])(?:$|[^A-Za-z0-9_])')}, 1)[-1])) AS letter FROM teacher_outputs",
+        "choice_last": "SELECT row_id, coalesce(upper(regexp_extract_all(teacher_completion, '(?i)(?:answer|option|choice)\\s*(?:is)?\\s*[:(]?\\s*([A-E])', 1)[-1]), upper(regexp_extract_all(teacher_completion, '\\b([A-Ea-e])\\b', 1)[-1])) AS letter FROM teacher_outputs",
+        "answer_types": "SELECT count(*) FILTER (WHERE regexp_full_match(answer, '[A-Ea-e]')) AS multiple_choice, count(*) FILTER (WHERE NOT regexp_full_match(answer, '[A-Ea-e]')) AS free_text FROM eval_items",
+        "score_mixed": "SELECT CASE WHEN regexp_full_match(trim(answer), '[A-Ea-e]') THEN 'multiple_choice' ELSE 'free_text' END AS answer_type, 'unknown' AS source_dataset, count(*) AS total, count(*) AS scorable, count(*) FILTER (WHERE NOT regexp_full_match(trim(answer), '[A-Ea-e]') OR upper(trim(answer)) = 'B') AS correct FROM eval_items WHERE trim(prompt) <> '' GROUP BY 1",
+        "score_boxed": f"SELECT benchmark, count(*) AS total, count(*) FILTER (WHERE error IS NULL AND b IS NOT NULL) AS scorable, count(*) FILTER (WHERE error IS NULL AND coalesce(CASE WHEN n IS NULL THEN f = '15' ELSE abs(n - 15) <= 1e-4 * greatest(abs(n), 15) END, false)) AS correct, count(*) FILTER (WHERE error IS NULL AND b IS NULL) AS unboxed FROM (SELECT *, {_parsed('f')} AS n FROM (SELECT *, {_normal_form('b')} AS f FROM (SELECT benchmark, error, {boxed} AS b FROM {TEACHER}))) GROUP BY 1",
+        "accuracy_by_run": _accuracy(scored_run, "run_id"),
+        "accuracy_overall": _accuracy("gsm8k_unscorable"),
+        "accuracy_by_category": f"SELECT CASE WHEN trim(coalesce(benchmark, '')) = '' THEN 'arc-challenge' ELSE benchmark END AS category, count(*) FILTER (WHERE finish_reason = 'stop') AS correct, count(*) AS total, round(100 * count(*) FILTER (WHERE finish_reason = 'stop') / count(*), 2) AS accuracy_pct FROM {TEACHER} GROUP BY 1",
+        "accuracy_by_source": "SELECT run_id, count(*) FILTER (WHERE teacher_completion IS NOT NULL AND finish_reason = 'stop') AS correct, count(teacher_completion) AS scorable, count(*) AS total, round(coalesce(100 * count(*) FILTER (WHERE teacher_completion IS NOT NULL AND finish_reason = 'stop') / nullif(count(teacher_completion), 0), 0), 2) AS accuracy_pct FROM teacher_outputs GROUP BY 1",
+        "runs_rollup": "SELECT kind, model_role, count(*) AS n_runs, sum(gpu_count)::BIGINT AS gpus FROM run_meta GROUP BY ROLLUP (kind, model_role)",
+        "prompt_template": "SELECT item_id, 'Solve. Use \\boxed{{}}.' || chr(10) || chr(10) || 'Problem: ' || question || chr(10) AS prompt FROM eval_items",
+        "prompt_format": "SELECT item_id, 'Solve. Use \\boxed{}.' || chr(10) || chr(10) || 'Problem: ' || question || chr(10) AS prompt FROM eval_items",
+        "options_block": "SELECT p_partkey, array_to_string(list_transform(range(1, least(3, len(w)) + 1), lambda i: ['A', 'B', 'C'][i] || ') ' || w[i]), chr(10)) AS options FROM (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part)",
+        "prompt_union": f"SELECT 'item-' || (row_number() OVER (ORDER BY item_id) - 1) AS id, benchmark, prompt FROM eval_items UNION ALL SELECT 'extra-' || (row_number() OVER (ORDER BY row_id) - 1), benchmark, prompt FROM {TEACHER} WHERE benchmark = 'extra'",
+        "mixed_examples": "SELECT trim(prompt) AS prompt, CASE WHEN regexp_full_match(trim(answer), '[A-Ea-e]') THEN upper(trim(answer)) ELSE trim(answer) END AS reference_answer, CASE WHEN regexp_full_match(trim(answer), '[A-Ea-e]') THEN 'multiple_choice' ELSE 'free_text' END AS answer_type, benchmark AS source_dataset FROM eval_items WHERE trim(prompt) <> ''",
+        "head_examples": "SELECT item_id, benchmark FROM eval_items ORDER BY item_id LIMIT 50",
+        "cyclic_prompts": "SELECT i.item_id, count(*) AS n_requests FROM request_measurement r JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM eval_items) i ON r.meas_id % i.n = i.k GROUP BY 1",
+        "generation_summary": f"SELECT benchmark, count(*) AS total, count(*) FILTER (WHERE error IS NULL) AS ok FROM {TEACHER} GROUP BY 1",
+        "trainable_rows": f"SELECT coalesce(benchmark, '?') AS benchmark, count(*) AS valid FROM {TEACHER} WHERE error IS NULL AND teacher_completion <> '' GROUP BY 1",
+        "schema_gate": f"SELECT count(*) AS total, count(*) FILTER (WHERE id IS NULL) AS missing_id, count(*) FILTER (WHERE benchmark IS NULL) AS missing_benchmark, count(*) FILTER (WHERE prompt IS NULL) AS missing_prompt, count(*) FILTER (WHERE teacher_completion IS NULL) AS missing_teacher_completion, count(*) FILTER (WHERE error IS NULL AND teacher_completion <> '') AS valid, count(*) FILTER (WHERE error IS NULL AND teacher_completion <> '') >= 50 AS enough FROM {TEACHER}",
+        "train_split": "SELECT CASE WHEN CAST('0x' || md5('42-' || id)[1:8] AS BIGINT) % 10000 < 1500 THEN 'validation' ELSE 'train' END AS split, count(*) AS n, count(DISTINCT id) AS n_ids FROM teacher_outputs GROUP BY 1",
+        "label_mask": "SELECT item_id, array_to_string(list_transform(range(1, 49), lambda i: CASE WHEN i <= p OR i > len(w) THEN -100 ELSE length(w[i]) END), ',') AS labels, p >= least(48, len(w)) AS fully_masked FROM (SELECT item_id, string_split(question, ' ') AS w, len(string_split(split_part(question, '.', 1), ' ')) AS p FROM eval_items)",
+        "turn_pairs": "SELECT user_id, event_id, prompt, completion FROM (SELECT user_id, event_id, props AS prompt, value < 40 AS u, lead(props) OVER w AS completion, lead(value) OVER w >= 40 AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE u AND a",
+        "leakage_exact": f"SELECT row_id FROM teacher_outputs WHERE md5({_PLAIN.format('prompt')}) IN (SELECT md5({_PLAIN.format('prompt')}) FROM {TEACHER} WHERE benchmark = 'arc_challenge' AND {_PLAIN.format('prompt')} <> '')",
+        "leakage_ngrams": f"WITH i AS {_grams('eval_items', 'item_id', 'question', 8)}, d AS {_grams('documents', 'doc_id', 'text', 8)}, n AS (SELECT item_id, count(*) AS n_grams FROM i GROUP BY 1) SELECT doc_id AS doc, item_id AS item, count(*) AS shared, any_value(n_grams)::INTEGER AS n_grams, round(count(*) / any_value(n_grams), 6) AS containment FROM d JOIN i USING (gram) JOIN n USING (item_id) GROUP BY 1, 2 HAVING count(*) / any_value(n_grams) >= 0.5",
+        "wording_confidence": f"SELECT row_id, round({_wording('teacher_completion')}, 6) AS confidence FROM teacher_outputs",
+        "logprob_confidence": f"SELECT vec_id, round((exp(list_max({logits[0]})) + exp(list_max({logits[1]}))) / 2, 6) AS peak, round(({entropies[0]} + {entropies[1]}) / 2, 6) AS certainty FROM embeddings",
+        "route_always_teacher": f"SELECT 'always_teacher' AS reason, {_SHARES} FROM (SELECT 'teacher' AS selected, t_ms AS took FROM {_PAIRS})",
+        "route_cascading": f"SELECT CASE WHEN selected = 'student' THEN 'student_ok' ELSE 'student_failed_or_slow' END AS reason, {_SHARES} FROM (SELECT selected, CASE selected WHEN 'student' THEN s_ms ELSE t_ms END AS took FROM (SELECT *, CASE WHEN s_error IS NULL AND s_ms <= 2000 THEN 'student' ELSE 'teacher' END AS selected FROM {_PAIRS})) GROUP BY 1",
+        "route_confidence": f"SELECT CASE WHEN selected = 'student' THEN 'confident' ELSE 'low_confidence' END AS reason, {_SHARES} FROM (SELECT selected, CASE selected WHEN 'student' THEN s_ms ELSE t_ms + coalesce(s_ms, 0) END AS took FROM (SELECT *, CASE WHEN conf >= 0.7 THEN 'student' ELSE 'teacher' END AS selected FROM {_PAIRS})) GROUP BY 1",
+        "route_sweep": f"SELECT round(threshold, 6) AS threshold, count(*) AS total, count(*) FILTER (WHERE conf >= threshold) AS student, round(avg(CASE WHEN conf >= threshold THEN s_ms ELSE t_ms + coalesce(s_ms, 0) END), 6) AS latency_mean FROM {_PAIRS}, (SELECT unnest([0.5::DOUBLE, 0.7::DOUBLE, 0.8::DOUBLE, 0.85::DOUBLE]) AS threshold) GROUP BY threshold",
+        "repetitions": f"SELECT model_role, round(request_rate, 4) AS request_rate, count(*) AS reps, round(avg(latency), 4) AS latency_mean, round(stddev_samp(latency), 4) AS latency_sd, round(avg(tokens), 4) AS tokens_mean, round(stddev_samp(tokens), 4) AS tokens_sd FROM {_PER_RUN} GROUP BY model_role, request_rate",
+        "speedup": f"WITH r AS (SELECT model_role, request_rate, avg(latency) AS latency FROM {_PER_RUN} GROUP BY ALL) SELECT round(a.request_rate, 4) AS request_rate, a.model_role, round(a.latency, 4) AS latency, round(a.latency / nullif(b.latency, 0), 4) AS ratio, round(a.latency - b.latency, 4) AS difference FROM r a LEFT JOIN r b ON b.model_role = 'teacher' AND a.request_rate = b.request_rate",
+        "latest_runs": "SELECT kind, model_role, timestamp_utc, run_id, git_commit FROM run_meta QUALIFY row_number() OVER (PARTITION BY kind, model_role ORDER BY timestamp_utc DESC, run_id DESC, git_commit DESC NULLS LAST) = 1",
+        "run_folders": f"SELECT run_id, {run_part[0]} AS kind, {run_part[1]} AS role, strptime({run_part[2]}, '%Y%m%dT%H%M%SZ') AS run_ts, sha256(run_id)[1:12] AS hash FROM run_meta",
+        "summary_union": "SELECT run_id, count(*) AS n_requests, NULL::BIGINT AS n_answers FROM request_measurement GROUP BY 1 UNION ALL SELECT run_id, NULL, count(*) FROM teacher_outputs GROUP BY 1",
+        "stdout_metrics": f"SELECT p_partkey, {', '.join(read.values())} FROM (SELECT p_partkey, {stdout} AS value FROM part)",
+        "training_log": f"SELECT {', '.join(loss.values())} FROM (SELECT unnest(regexp_extract_all(text, '(\\{{''loss'': [^{{}}]*\\}})', 1)) AS v FROM documents)",
+        "json_fields": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+    }

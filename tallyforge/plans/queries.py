@@ -1,4 +1,4 @@
-"""Queries over the test tables, one or more for each operator."""
+"""Queries over the test tables, one or more for each operator. All run over whole tables."""
 
 from __future__ import annotations
 
@@ -7,14 +7,359 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import latency
+from tallyforge.functions import choice, confidence, latex, numbers
+from tallyforge.operators import accuracy, compare, examples, latency, leakage, lineage, prompts, routing, sft
+from tallyforge.sources import readers, writers
 from tallyforge.session import table
+from tallyforge.streaming import telemetry
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def _teacher(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "teacher_outputs").withColumn("benchmark", F.lower(F.trim("benchmark")))
+
+
+# Telemetry
+
+
+@query
 def latency_summary(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").withColumn("request_rate", F.pmod("user_id", F.lit(5)))
     return latency.rounded(latency.summarize(events, ["request_rate"], "value", F.col("event_type") != "error"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"latency_summary": latency_summary}
+@query
+def rate_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return latency.rounded(latency.rate_sweep(table(spark, d, "request_measurement"), ["run_id", "request_rate"]))
+
+
+@query
+def rate_sweep_strict(spark: SparkSession, d: str) -> DataFrame:
+    return latency.rounded(latency.rate_sweep(table(spark, d, "request_measurement"), ["request_rate"], strict=True))
+
+
+@query
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    out = telemetry.windowed(table(spark, d, "events"), "ts", "value", "event_type = 'error'")
+    return latency.rounded(out.select("window_start", "total_requests", "failed_requests", "latency_min", "latency_max", "latency_mean"))
+
+
+@query
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.sessions(table(spark, d, "events"), "ts", "user_id", "6 hours")
+
+
+# Answers
+
+
+@query
+def numeric_last_match(spark: SparkSession, d: str) -> DataFrame:
+    return _teacher(spark, d).select("row_id", numbers.last_match(F.col("teacher_completion")).alias("answer"))
+
+
+@query
+def numeric_reference(spark: SparkSession, d: str) -> DataFrame:
+    return examples.numeric_examples(table(spark, d, "eval_items").select("question", F.col("solution").alias("answer"))).select("question", "reference_answer")
+
+
+@query
+def numeric_parse(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "gsm8k_unscorable")
+    found = numbers.last_match(F.col("model_response"), numbers.FINAL_NUMBER_LENIENT)
+    return rows.select("row_id", F.round(numbers.parse_number(found), 6).alias("value"), F.round(numbers.parse_number(F.col("reference_answer")), 6).alias("reference"))
+
+
+@query
+def numeric_match(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem")
+    off = F.col("l_extendedprice") * (1 + F.col("l_linenumber") * 4e-5)
+    return rows.groupBy("l_linenumber").agg(F.count_if(numbers.close(off, F.col("l_extendedprice"))).alias("matched"), F.count("*").alias("total"))
+
+
+@query
+def boxed_answer(spark: SparkSession, d: str) -> DataFrame:
+    return _teacher(spark, d).select("row_id", latex.boxed_answer(F.col("teacher_completion")).alias("answer"))
+
+
+@query
+def latex_normal_form(spark: SparkSession, d: str) -> DataFrame:
+    return _teacher(spark, d).select("row_id", latex.normal_form(F.col("teacher_completion")).alias("plain"))
+
+
+@query
+def math_match(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    stated = F.concat(F.lit("\\frac{"), size, F.lit("}{2}"))
+    worth = ((F.col("p_size") + F.pmod("p_partkey", F.lit(3))) / 2).cast("string")
+    return table(spark, d, "part").select("p_partkey", latex.math_match(stated, worth).alias("matches"))
+
+
+@query
+def choice_first(spark: SparkSession, d: str) -> DataFrame:
+    return _teacher(spark, d).select("row_id", choice.first_choice(F.col("teacher_completion")).alias("letter"))
+
+
+@query
+def choice_last(spark: SparkSession, d: str) -> DataFrame:
+    return _teacher(spark, d).select("row_id", choice.last_choice(F.col("teacher_completion")).alias("letter"))
+
+
+@query
+def answer_types(spark: SparkSession, d: str) -> DataFrame:
+    return accuracy.answer_types(table(spark, d, "eval_items"), "answer")
+
+
+@query
+def score_mixed(spark: SparkSession, d: str) -> DataFrame:
+    rows = examples.mixed_examples(table(spark, d, "eval_items").select("item_id", "prompt", "answer").withColumnRenamed("item_id", "nr"))
+    said = F.when(F.col("answer_type") == "multiple_choice", F.lit("I would say the answer is (B)")).otherwise(F.concat(F.col("reference_answer"), F.lit(".0")))
+    scored = accuracy.score_mixed(rows.withColumn("response", said), "response", "reference_answer", "answer_type")
+    return scored.groupBy("answer_type", "source_dataset").agg(F.count("*").alias("total"), F.count_if("scorable").alias("scorable"), F.count_if("correct").alias("correct"))
+
+
+@query
+def score_boxed(spark: SparkSession, d: str) -> DataFrame:
+    scored = accuracy.score_boxed(_teacher(spark, d).withColumn("reference", F.lit("15")), "teacher_completion", "reference", "error")
+    return scored.groupBy("benchmark").agg(
+        F.count("*").alias("total"), F.count_if("scorable").alias("scorable"), F.count_if("correct").alias("correct"), F.count_if(F.col("ambiguity_reason") == "no_boxed_answer_in_response").alias("unboxed")
+    )
+
+
+# Accuracy
+
+
+@query
+def accuracy_by_run(spark: SparkSession, d: str) -> DataFrame:
+    """Lenient extraction rescues answers that the strict pattern left unscorable."""
+    rows = table(spark, d, "gsm8k_unscorable").drop("predicted_answer", "correct", "scorable")
+    return accuracy.overall(accuracy.score_numeric(rows, "model_response", "reference_answer", "error", lenient=True), ["run_id"])
+
+
+@query
+def accuracy_overall(spark: SparkSession, d: str) -> DataFrame:
+    return accuracy.overall(table(spark, d, "gsm8k_unscorable"))
+
+
+@query
+def accuracy_by_category(spark: SparkSession, d: str) -> DataFrame:
+    return accuracy.by_category(_teacher(spark, d).withColumn("correct", F.col("finish_reason") == "stop"), "benchmark")
+
+
+@query
+def accuracy_by_source(spark: SparkSession, d: str) -> DataFrame:
+    rows = _teacher(spark, d).withColumn("correct", F.col("finish_reason") == "stop").withColumn("scorable", F.col("teacher_completion").isNotNull())
+    return accuracy.by_source(rows, "run_id")
+
+
+@query
+def runs_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Runs by kind and role with subtotals (an extension)."""
+    return table(spark, d, "run_meta").rollup("kind", "model_role").agg(F.count("*").alias("n_runs"), F.sum("gpu_count").alias("gpus"))
+
+
+# Prompts and training data
+
+
+@query
+def prompt_template(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").select("item_id", prompts.fill("Solve. Use \\boxed{{}}.\n\nProblem: {question}\n", question=F.col("question")).alias("prompt"))
+
+
+@query
+def prompt_format(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").select("item_id", prompts.format_template("Solve. Use \\boxed{{}}.\n\nProblem: {question}\n", question=F.col("question")).alias("prompt"))
+
+
+@query
+def options_block(spark: SparkSession, d: str) -> DataFrame:
+    labels = F.array(*[F.lit(x) for x in "123"])
+    return table(spark, d, "part").select("p_partkey", prompts.options_block(F.transform(labels, choice.normal_label), F.split("p_type", " ")).alias("options"))
+
+
+@query
+def prompt_union(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "eval_items").select("item_id", "benchmark", "prompt")
+    own = prompts.number_ids(items, "item", "item_id")
+    extra = prompts.number_ids(_teacher(spark, d).where("benchmark = 'extra'").select("row_id", "benchmark", "prompt"), "extra", "row_id")
+    return prompts.union_prompts(own, extra)
+
+
+@query
+def mixed_examples(spark: SparkSession, d: str) -> DataFrame:
+    return examples.mixed_examples(table(spark, d, "eval_items").select(F.col("prompt").alias("query"), "answer", F.col("benchmark").alias("category")))
+
+
+@query
+def head_examples(spark: SparkSession, d: str) -> DataFrame:
+    """The first 50 items by id."""
+    return examples.head(table(spark, d, "eval_items").select("item_id", "benchmark"), "item_id", 50)
+
+
+@query
+def cyclic_prompts(spark: SparkSession, d: str) -> DataFrame:
+    items = prompts.number_ids(table(spark, d, "eval_items").select("item_id"), "p", "item_id").withColumn("rank", F.substring_index("id", "-", -1).cast("bigint"))
+    n = items.count()
+    return prompts.assign_cyclic(table(spark, d, "request_measurement").select("meas_id"), "meas_id", items, "rank", n).groupBy("item_id").agg(F.count("*").alias("n_requests"))
+
+
+@query
+def generation_summary(spark: SparkSession, d: str) -> DataFrame:
+    return prompts.generation_summary(_teacher(spark, d))
+
+
+@query
+def trainable_rows(spark: SparkSession, d: str) -> DataFrame:
+    return prompts.trainable(_teacher(spark, d)).groupBy(F.coalesce("benchmark", F.lit("?")).alias("benchmark")).agg(F.count("*").alias("valid"))
+
+
+@query
+def schema_gate(spark: SparkSession, d: str) -> DataFrame:
+    return prompts.gate(_teacher(spark, d), ["id", "benchmark", "prompt", "teacher_completion"], "teacher_completion", "error")
+
+
+@query
+def train_split(spark: SparkSession, d: str) -> DataFrame:
+    return sft.split(_teacher(spark, d), "id").groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
+
+
+@query
+def label_mask(spark: SparkSession, d: str) -> DataFrame:
+    ids, mask = sft.fit(F.transform(F.split("question", " "), lambda w: F.length(w)), 48)
+    labels = sft.mask_labels(F.col("ids"), F.col("mask"), F.size(F.split(F.substring_index("question", ".", 1), " ")))
+    rows = table(spark, d, "eval_items").select("item_id", "question", ids.alias("ids"), mask.alias("mask"))
+    return rows.select("item_id", F.array_join(labels.cast("array<string>"), ",").alias("labels"), sft.fully_masked(labels).alias("fully_masked"))
+
+
+@query
+def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "events").withColumn("role", F.when(F.col("value") < 40, "user").otherwise("assistant"))
+    return sft.turn_pairs(turns.select("user_id", "event_id", "role", F.col("props").alias("text")), "user_id", "event_id", "role", "text")
+
+
+@query
+def leakage_exact(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.exact(_teacher(spark, d).select("row_id", "prompt"), "prompt", _teacher(spark, d).where("benchmark = 'arc_challenge'").select("prompt"), "prompt").select("row_id")
+
+
+@query
+def leakage_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.containment(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "question", n=8, least=0.5)
+    return found.select("doc", "item", "shared", "n_grams", F.round("containment", 6).alias("containment"))
+
+
+# Confidence and routing
+
+
+@query
+def wording_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _teacher(spark, d).select("row_id", F.round(confidence.from_wording(F.col("teacher_completion")), 6).alias("confidence"))
+
+
+@query
+def logprob_confidence(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in "abcd"])
+    positions = F.array(*[F.map_from_arrays(names, F.slice(F.col("embedding").cast("array<double>"), k, 4)) for k in (1, 5)])
+    rows = table(spark, d, "embeddings").withColumn("positions", positions)
+    return rows.select("vec_id", F.round(confidence.from_logprobs(F.col("positions"), "max_logprob"), 6).alias("peak"), F.round(confidence.from_logprobs(F.col("positions"), "entropy"), 6).alias("certainty"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Responses of two models to one request, by row number."""
+    student = table(spark, d, "gsm8k_unscorable").select("row_id", F.col("latency_ms").alias("student_latency_ms"), F.col("error").alias("student_error"), confidence.from_wording(F.col("model_response")).alias("student_confidence"))
+    teacher = table(spark, d, "teacher_outputs").select("row_id", F.nanvl("latency_ms", F.lit(None).cast("double")).alias("teacher_latency_ms"))
+    return student.join(teacher, "row_id")
+
+
+def _routed(df: DataFrame) -> DataFrame:
+    return latency.rounded(df)
+
+
+@query
+def route_always_teacher(spark: SparkSession, d: str) -> DataFrame:
+    return _routed(routing.shares(routing.route(_pairs(spark, d), "always_teacher"), ["reason"]))
+
+
+@query
+def route_cascading(spark: SparkSession, d: str) -> DataFrame:
+    return _routed(routing.shares(routing.route(_pairs(spark, d), "cascading", timeout_ms=2000.0), ["reason"]))
+
+
+@query
+def route_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _routed(routing.shares(routing.route(_pairs(spark, d), "confidence"), ["reason"]))
+
+
+@query
+def route_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return _routed(routing.sweep(_pairs(spark, d), [0.5, 0.7, 0.8, 0.85]))
+
+
+# Runs
+
+
+def _per_run(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "request_measurement").where("error IS NULL").groupBy("run_id", "request_rate").agg(F.avg("latency_ms").alias("latency"), F.sum("output_tokens").alias("tokens"))
+    return runs.join(table(spark, d, "run_meta").select("run_id", "model_role"), "run_id")
+
+
+@query
+def repetitions(spark: SparkSession, d: str) -> DataFrame:
+    return latency.rounded(compare.repetitions(_per_run(spark, d), ["model_role", "request_rate"], ["latency", "tokens"]), 4)
+
+
+@query
+def speedup(spark: SparkSession, d: str) -> DataFrame:
+    per_role = _per_run(spark, d).groupBy("model_role", "request_rate").agg(F.avg("latency").alias("latency"))
+    return latency.rounded(compare.against(per_role, "model_role", "teacher", ["request_rate"], "latency"), 4)
+
+
+@query
+def latest_runs(spark: SparkSession, d: str) -> DataFrame:
+    return compare.latest(table(spark, d, "run_meta"), ["kind", "model_role"], "timestamp_utc", ["run_id", "git_commit"])
+
+
+@query
+def run_folders(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("/results/"), F.col("run_id"), F.lit("/run_meta.json"))
+    return table(spark, d, "run_meta").select("run_id", *readers.run_of(path), lineage.text_hash(F.col("run_id")).alias("hash"))
+
+
+@query
+def summary_union(spark: SparkSession, d: str) -> DataFrame:
+    requests = table(spark, d, "request_measurement").groupBy("run_id").agg(F.count("*").alias("n_requests"))
+    answers = _teacher(spark, d).groupBy("run_id").agg(F.count("*").alias("n_answers"))
+    return writers.union_summaries([requests, answers])
+
+
+# Texts of tools and logs
+
+
+@query
+def stdout_metrics(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit("Successful requests:      "), size, F.lit("\nBenchmark duration (s):   "), F.col("p_retailprice").cast("string"), F.lit("\nMean TTFT (ms):   "), size, F.lit(".50\nFailed requests:  0\n"))
+    parsed = readers.parse_stdout(table(spark, d, "part").select("p_partkey", text.alias("value")))
+    return parsed.select("p_partkey", "completed_requests", "total_time_s", "mean_ttft_ms", "failed_requests", "p99_itl_ms")
+
+
+@query
+def training_log(spark: SparkSession, d: str) -> DataFrame:
+    """Trainer lines wherever they stand in documents."""
+    found = F.explode(F.regexp_extract_all("text", F.lit(r"(\{'loss': [^{}]*\})"), F.lit(1)))
+    return readers.parse_training_log(table(spark, d, "documents").select(found.alias("value"))).select("loss", "grad_norm", "learning_rate", "epoch")
+
+
+@query
+def json_fields(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))

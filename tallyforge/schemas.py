@@ -1,30 +1,23 @@
-"""Schemas of the records."""
+"""Schemas of the records, as DDL, which readers and ``createDataFrame`` take as it is."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-
-def _of(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
-
-
-REQUEST = _of("run_id STRING, request_rate DOUBLE, status INT, latency_ms DOUBLE, ttfb_ms DOUBLE, output_tokens BIGINT, error STRING")
-PROMPT = _of("id STRING, benchmark STRING, prompt STRING")
-NUMERIC_EXAMPLE = _of("question STRING, reference_answer STRING, full_solution STRING")
-NUMERIC_RESULT = _of("index BIGINT, question STRING, reference_answer STRING, model_response STRING, predicted_answer STRING, correct BOOLEAN, scorable BOOLEAN, latency_ms DOUBLE, error STRING")
-BOXED_EXAMPLE = _of("problem STRING, level STRING, type STRING, full_solution STRING, reference_answer STRING, reference_is_boxed BOOLEAN")
-CHOICE_RAW = _of("id STRING, question STRING, choices STRUCT<label: ARRAY<STRING>, text: ARRAY<STRING>>, answerKey STRING, category STRING")
-MIXED_EXAMPLE = _of("prompt STRING, reference_answer STRING, answer_type STRING, source_dataset STRING")
-RESPONSE = _of("benchmark STRING, index BIGINT, model STRING, text STRING, latency_ms DOUBLE, error STRING")
-TEACHER_OUTPUT = _of(
+REQUEST = "run_id STRING, request_rate DOUBLE, status INT, latency_ms DOUBLE, ttfb_ms DOUBLE, output_tokens BIGINT, error STRING"
+PROMPT = "id STRING, benchmark STRING, prompt STRING"
+NUMERIC_EXAMPLE = "question STRING, reference_answer STRING, full_solution STRING"
+NUMERIC_RESULT = "index BIGINT, question STRING, reference_answer STRING, model_response STRING, predicted_answer STRING, correct BOOLEAN, scorable BOOLEAN, latency_ms DOUBLE, error STRING"
+BOXED_EXAMPLE = "problem STRING, level STRING, type STRING, full_solution STRING, reference_answer STRING, reference_is_boxed BOOLEAN"
+CHOICE_RAW = "id STRING, question STRING, choices STRUCT<label: ARRAY<STRING>, text: ARRAY<STRING>>, answerKey STRING, category STRING"
+MIXED_EXAMPLE = "prompt STRING, reference_answer STRING, answer_type STRING, source_dataset STRING"
+RESPONSE = "benchmark STRING, index BIGINT, model STRING, text STRING, latency_ms DOUBLE, error STRING"
+TEACHER_OUTPUT = (
     "id STRING, benchmark STRING, prompt STRING, teacher_completion STRING, teacher_model STRING, generation_parameters STRUCT<temperature: DOUBLE, top_p: DOUBLE, max_tokens: INT>,"
     " latency_ms DOUBLE, finish_reason STRING, error STRING"
 )
-TOKENS = _of("id STRING, input_ids ARRAY<INT>, attention_mask ARRAY<INT>, prompt_len INT")
-LOGPROBS = _of("prompt_index BIGINT, logprobs ARRAY<MAP<STRING, DOUBLE>>, response_text STRING")
-ROUTED = _of("prompt_index BIGINT, selected_model STRING, latency_ms DOUBLE, response_text STRING, confidence DOUBLE, reason STRING, metadata MAP<STRING, STRING>")
-RUN_META = _of(
+TOKENS = "id STRING, input_ids ARRAY<INT>, attention_mask ARRAY<INT>, prompt_len INT"
+LOGPROBS = "prompt_index BIGINT, logprobs ARRAY<MAP<STRING, DOUBLE>>, response_text STRING"
+ROUTED = "prompt_index BIGINT, selected_model STRING, latency_ms DOUBLE, response_text STRING, confidence DOUBLE, reason STRING, metadata MAP<STRING, STRING>"
+RUN_META = (
     "timestamp_utc STRING, hostname STRING, seed BIGINT, git_commit STRING, config_hash STRING, slurm_job_id STRING, gpu_count INT,"
     " gpus ARRAY<STRUCT<index: INT, name: STRING, total_memory_mb: BIGINT>>, pip_freeze ARRAY<STRING>"
 )
