@@ -59,7 +59,7 @@ REWRITES = [
     ("\\times", "*", False),
     (r"\\[a-zA-Z]+", "", True),
     (r"\\[,;!: ]", "", True),
-    (r"\s+", " ", True),
+    (r"[\s\p{Z}]+", " ", True),
 ]
 
 

@@ -92,6 +92,12 @@ def _grams(table: str, key: str, text: str, n: int) -> str:
     return f"(SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS gram FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) >= {n})"
 
 
+def _alone(letters: str) -> str:
+    """The last letter that stands alone, upper case; word boundaries are Unicode's, which RE2's ``\\b`` are not."""
+    spaced = r"regexp_replace(teacher_completion, '[^\p{L}\p{N}_]', '  ', 'g')"
+    return f"upper(regexp_extract_all({spaced}, '(?:^| )([{letters}])(?:$| )', 1)[-1])"
+
+
 def oracle_sql() -> dict[str, str]:
     boxed = f"trim(regexp_extract_all(teacher_completion, {_quoted(_BOX)}, 1)[-1])"
     first = "upper(coalesce(" + ", ".join(f"nullif(regexp_extract(teacher_completion, {_quoted(_FIRST)}, {k}), '')" for k in (1, 2, 3)) + "))"
@@ -117,8 +123,8 @@ def oracle_sql() -> dict[str, str]:
         "boxed_answer": f"SELECT row_id, {boxed} AS answer FROM teacher_outputs",
         "latex_normal_form": f"SELECT row_id, {_normal_form('teacher_completion')} AS plain FROM teacher_outputs",
         "math_match": "SELECT p_partkey, p_partkey % 3 = 0 AS matches FROM part",
-        "choice_first": f"SELECT row_id, coalesce({first}, upper(regexp_extract_all(teacher_completion, {_quoted(r'(?i)(?:^|[^A-Za-z0-9_])([A-D])(?:$|[^A-Za-z0-9_])')}, 1)[-1])) AS letter FROM teacher_outputs",
-        "choice_last": "SELECT row_id, coalesce(upper(regexp_extract_all(teacher_completion, '(?i)(?:answer|option|choice)\\s*(?:is)?\\s*[:(]?\\s*([A-E])', 1)[-1]), upper(regexp_extract_all(teacher_completion, '\\b([A-Ea-e])\\b', 1)[-1])) AS letter FROM teacher_outputs",
+        "choice_first": f"SELECT row_id, coalesce({first}, {_alone('A-Da-d')}) AS letter FROM teacher_outputs",
+        "choice_last": "SELECT row_id, coalesce(upper(regexp_extract_all(teacher_completion, '(?i)(?:answer|option|choice)\\s*(?:is)?\\s*[:(]?\\s*([A-E])', 1)[-1]), " + _alone("A-Ea-e") + ") AS letter FROM teacher_outputs",
         "answer_types": "SELECT count(*) FILTER (WHERE regexp_full_match(answer, '[A-Ea-e]')) AS multiple_choice, count(*) FILTER (WHERE NOT regexp_full_match(answer, '[A-Ea-e]')) AS free_text FROM eval_items",
         "score_mixed": "SELECT CASE WHEN regexp_full_match(trim(answer), '[A-Ea-e]') THEN 'multiple_choice' ELSE 'free_text' END AS answer_type, 'unknown' AS source_dataset, count(*) AS total, count(*) AS scorable, count(*) FILTER (WHERE NOT regexp_full_match(trim(answer), '[A-Ea-e]') OR upper(trim(answer)) = 'B') AS correct FROM eval_items WHERE trim(prompt) <> '' GROUP BY 1",
         "score_boxed": f"SELECT benchmark, count(*) AS total, count(*) FILTER (WHERE error IS NULL AND b IS NOT NULL) AS scorable, count(*) FILTER (WHERE error IS NULL AND coalesce(CASE WHEN n IS NULL THEN f = '15' ELSE abs(n - 15) <= 1e-4 * greatest(abs(n), 15) END, false)) AS correct, count(*) FILTER (WHERE error IS NULL AND b IS NULL) AS unboxed FROM (SELECT *, {_parsed('f')} AS n FROM (SELECT *, {_normal_form('b')} AS f FROM (SELECT benchmark, error, {boxed} AS b FROM {TEACHER}))) GROUP BY 1",
