@@ -32,8 +32,11 @@ from tallyforge.llm.textnorm import words
 WINDOW, COVERAGE, LEAST, BLOCK = 6, 0.5, 8, 20_000
 #: A word is taken as matched if so many of the ``AROUND`` words around it are equal on its diagonal.
 AROUND, EQUAL = 5, 4
-#: Of the slots in the matched words, so many must hold equal values.
+#: Of the slots in the matched words, so many must hold equal values ...
 SLOTS = 0.8
+#: ... or of all the item's numbers and names so many; then plain runs of ``AROUND`` equal words within ``DRIFT`` words of where the
+#: consistent windows put them count as matched too, which finds the stretches between misspelt names and lost words.
+SURE, DRIFT = 0.35, 4
 
 #: Units of measure.
 UNITS = frozenset(
@@ -50,6 +53,9 @@ class Index:
 
     def __init__(self, rows: Iterable[Row]):
         self.fields: list[tuple[int, np.ndarray]] = []
+        self.slots: list[np.ndarray] = []
+        self.telling: list[np.ndarray] = []
+        self.own_runs: list[np.ndarray] = []
         hashes = WordHashes()
         sequences, names, spread = [], set(), Counter()
         for row in rows:
@@ -63,14 +69,14 @@ class Index:
         # a plain word recurs throughout a build; names and the things of an item do not
         rare = {w for w, n in spread.items() if n <= max(2, 0.02 * len(sequences))}
         self.plain = {w for w in spread if not w[0].isdigit() and w not in names and w not in rare and w not in UNITS}
-        self.types: dict[str, tuple[int, int]] = {}
         self.hashes = hashes
         windows: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for item, found in sequences:
             raw, template, slot = self.encode(found)
             self.fields.append((item, raw))
-            self.slots = getattr(self, "slots", [])
             self.slots.append(slot)
+            self.telling.append(np.array([w[0].isdigit() or w in names for w in found]))
+            self.own_runs.append(self.runs(raw))
             keys, values, has = self.windows(raw, template, slot)
             for at in np.flatnonzero(has):
                 windows[int(keys[at])].append((int(values[at]), len(self.fields) - 1, int(at)))
@@ -82,7 +88,6 @@ class Index:
                 by_value[value].append((field, at))
             self.entries[key] = dict(by_value)
         self.values = np.array(sorted({v for by in self.entries.values() for v in by}), dtype=np.uint64)
-        self.types.clear()
         self.hashes.clear()
 
     def encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,6 +118,16 @@ class Index:
                 has += slot[k : k + n]
         return mix(key), mix(value), has > 0
 
+    @staticmethod
+    def runs(raw: np.ndarray) -> np.ndarray:
+        """Hash of the ``AROUND`` words from each place on."""
+        n = max(0, len(raw) - AROUND + 1)
+        out = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(AROUND):
+                out += raw[k : k + n] * np.uint64((2 * k + 3) * 0x85EBCA6B | 1)
+        return mix(out)
+
     def carried(self, texts: list[str | None]) -> list[list[tuple[int, float]]]:
         """(item, coverage) by text, for coverages above ``COVERAGE``."""
         found = [words(t) if t else [] for t in texts]
@@ -138,9 +153,19 @@ class Index:
             for field, q in self.entries[int(keys[p])].get(int(values[p]), ()):
                 seeds[d, field].add(p - q)
         best: dict[tuple[int, int], float] = {}
+        runs = self.runs(raw) if seeds else raw
         for (d, field), diagonals in seeds.items():
-            start = int(ends[d]) - len(found[d])
-            share = self._coverage(raw, start, int(ends[d]), field, sorted(diagonals))
+            start, end = int(ends[d]) - len(found[d]), int(ends[d])
+            covered, equal = self._matched(raw, start, end, field, diagonals)
+            slots, telling, own = self.slots[field], self.telling[field], self.own_runs[field]
+            if telling.any() and (equal & telling).sum() >= SURE * telling.sum():
+                stretch = runs[start : max(start, end - AROUND + 1)]
+                more = {start + p - q for p in np.flatnonzero(np.isin(stretch, own)).tolist() for q in np.flatnonzero(own == stretch[p]).tolist()}
+                close = {x for x in more - diagonals if any(abs(x - y) <= DRIFT for y in diagonals)}
+                covered |= self._matched(raw, start, end, field, close)[0]
+            elif (equal & slots).sum() < SLOTS * (covered & slots).sum():
+                continue
+            share = float(covered.mean())
             if share > COVERAGE:
                 key = (d, self.fields[field][0])
                 best[key] = max(best.get(key, 0.0), share)
@@ -148,13 +173,14 @@ class Index:
             out[d].append((item, share))
         return out
 
-    def _coverage(self, raw: np.ndarray, start: int, end: int, field: int, diagonals: list[int]) -> float:
-        own, slot = self.fields[field][1], self.slots[field]
+    def _matched(self, raw: np.ndarray, start: int, end: int, field: int, diagonals: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Which words of an item's text a document (its words from ``start`` to ``end``) has on the diagonals, and which of them are equal."""
+        own = self.fields[field][1]
         n = len(own)
         covered, equal = np.zeros(n, bool), np.zeros(n, bool)
         for diagonal in diagonals:
             lo, hi = max(0, start - diagonal), min(n, end - diagonal)
-            if hi - lo < WINDOW:
+            if hi - lo < AROUND:
                 continue
             same = np.zeros(n, bool)
             same[lo:hi] = own[lo:hi] == raw[diagonal + lo : diagonal + hi]
@@ -166,12 +192,7 @@ class Index:
             rim = wide & (same | (np.roll(wide, 1) & np.roll(wide, -1)))
             covered |= rim
             equal |= same & rim
-        if not covered.any():
-            return 0.0
-        slots = covered & slot
-        if slots.any() and (equal & slot).sum() < SLOTS * slots.sum():
-            return 0.0
-        return float(covered.sum()) / n
+        return covered, equal
 
 
 def _carried(index: Index):
