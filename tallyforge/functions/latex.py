@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.functions.numbers import close, parse_number
+from tallyforge.functions.numbers import close, let, parse_number
 
 _BOX = "\\boxed{"
 
@@ -195,8 +195,8 @@ def same_value(a: str | None, b: str | None) -> bool | None:
 
 
 @F.pandas_udf(T.BooleanType())
-def _same_value(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([same_value(x, y) for x, y in zip(a, b)], dtype="object")
+def _same_value(pairs: pd.DataFrame) -> pd.Series:
+    return pd.Series([same_value(x, y) for x, y in zip(pairs["a"], pairs["b"])], dtype="object")
 
 
 def math_match(prediction: Column, reference: Column, symbolic: bool = True) -> Column:
@@ -205,11 +205,10 @@ def math_match(prediction: Column, reference: Column, symbolic: bool = True) ->
     Only pairs that numbers and text leave undecided are sent to Python. Null on either side is no match.
     """
     p, r = normal_form(prediction), normal_form(reference)
-    a, b = parse_number(p), parse_number(r)
-    numeric = a.isNotNull() & b.isNotNull()
-    equal = p == r
+    pair = F.struct(parse_number(p).alias("a"), parse_number(r).alias("b"))
+    numeric = let(pair, lambda v: F.when(v["a"].isNotNull() & v["b"].isNotNull(), close(v["a"], v["b"])))
+    decided = F.coalesce(numeric, F.when(p == r, F.lit(True)))
     if not symbolic:
-        return F.coalesce(F.when(numeric, close(a, b)).otherwise(equal), F.lit(False))
-    open_ = ~numeric & ~equal
-    by_value = _same_value(F.when(open_, p), F.when(open_, r))
-    return F.coalesce(F.when(numeric, close(a, b)).when(equal, F.lit(True)).otherwise(by_value), F.lit(False))
+        return F.coalesce(decided, F.lit(False))
+    by_value = _same_value(F.when(decided.isNull(), F.struct(p.alias("a"), r.alias("b"))))
+    return F.coalesce(decided, by_value, F.lit(False))

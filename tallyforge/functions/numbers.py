@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +11,13 @@ from pyspark.sql import functions as F
 FINAL_NUMBER = r"####\s*([\-\d,\.]+)"
 #: The same, but for a currency sign or box in between.
 FINAL_NUMBER_LENIENT = r"####\s*\$?(?:\\boxed\{)?\s*\$?(-?\d[\d,\.]*)"
-#: What may be cast: decimal notation only, so that suffixes and hexadecimal floats stay out.
-_DECIMAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
-_SPECIAL = r"(?i)^[+-]?(?:inf|infinity|nan)$"
+#: What may be cast: decimal notation and the names of infinity and no number, so that suffixes and hexadecimal floats stay out.
+_NUMBER = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]?(?i:inf|infinity|nan))$"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
 
 
 def last_match(text: Column, pattern: str = FINAL_NUMBER) -> Column:
@@ -25,14 +31,11 @@ def first_match_or_all(text: Column, pattern: str = FINAL_NUMBER) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    """A double, or null: thousands separators and blanks dropped, a closing percent sign divides by 100."""
-    bare = F.trim(F.replace(F.replace(text, F.lit(","), F.lit("")), F.lit(" "), F.lit("")))
-    percent = bare.endswith("%")
-    body = F.when(percent, F.regexp_replace(bare, "%$", "")).otherwise(bare)
-    # digits may be grouped by single underscores
-    body = F.when(body.rlike(r"^[+-]?[\d._eE+-]+$") & body.rlike(r"\d_\d") & ~body.rlike(r"__|_$|^_|\D_|_\D"), F.replace(body, F.lit("_"), F.lit(""))).otherwise(body)
-    value = F.when(body.rlike(_DECIMAL) | body.rlike(_SPECIAL), F.lower(body).try_cast("double"))
-    return F.when(percent, value / 100).otherwise(value)
+    """A double, or null: thousands separators and blanks dropped, single underscores between digits too; a closing
+    percent sign divides by 100."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"[,\s]|%\s*$", ""), r"(?<=\d)_(?=\d)", "")
+    # what does not match is the empty string, which casts to null
+    return F.regexp_extract(bare, _NUMBER, 1).try_cast("double") / F.when(text.rlike(r"%\s*$"), 100).otherwise(1)
 
 
 def close(a: Column, b: Column, relative: float = 1e-4, near_zero: float = 1e-6) -> Column:
@@ -45,5 +48,10 @@ def close(a: Column, b: Column, relative: float = 1e-4, near_zero: float = 1e-6)
     return F.coalesce(~F.isnan(a) & ~F.isnan(b) & near, F.lit(False))
 
 
+def close_pair(a: Column, b: Column) -> Column:
+    """As ``close``, with either side worked out once."""
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda v: close(v["a"], v["b"]))
+
+
 def number_match(prediction: Column, reference: Column) -> Column:
-    return close(parse_number(prediction), parse_number(reference))
+    return close_pair(parse_number(prediction), parse_number(reference))
