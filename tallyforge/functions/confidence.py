@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyforge.functions.numbers import let
+
 #: Words that hedge, and the weights of the heuristic.
 HEDGES = ("maybe", "perhaps", "possibly", "uncertain", "unsure", "might", "could")
 BASE, HEDGE_WEIGHT, SHORT_PENALTY, SHORT = 0.85, 0.5, 0.3, 3
@@ -22,11 +24,15 @@ def peak(positions: Column) -> Column:
 
 
 def _certainty(p: Column) -> Column:
-    raw = F.transform(F.map_values(p), lambda lp: F.exp(lp))
-    total = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x)
-    entropy = -F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + F.try_divide(x, total) * F.ln(F.try_divide(x, total) + _TINY))
-    most = F.when(F.size(raw) > 1, F.ln(F.size(raw))).otherwise(1.0)
-    return F.when(total > 0, 1 - entropy / (most + _TINY))
+    def of(raw: Column) -> Column:
+        return let(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x), lambda total: one_less_entropy(raw, total))
+
+    def one_less_entropy(raw: Column, total: Column) -> Column:
+        entropy = -F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + F.try_divide(x, total) * F.ln(F.try_divide(x, total) + _TINY))
+        most = F.when(F.size(raw) > 1, F.ln(F.size(raw))).otherwise(1.0)
+        return F.when(total > 0, 1 - entropy / (most + _TINY))
+
+    return let(F.transform(F.map_values(p), lambda lp: F.exp(lp)), of)
 
 
 def certainty(positions: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.numbers import let
+
 
 def normal_text(text: Column) -> Column:
     """Lower case, everything but letters and digits made single blanks."""
@@ -19,10 +21,14 @@ def exact(train: DataFrame, train_text: str, held_out: DataFrame, held_out_text:
 
 
 def ngrams(text: Column, n: int) -> Column:
-    """The distinct word n-grams of a text; none if it has fewer words."""
+    """The distinct word n-grams of a text, as 64-bit hashes; none if it has fewer words."""
     words = F.filter(F.split(normal_text(text), " "), lambda w: w != "")
-    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " ")))
+
+    def grams(w: Column) -> Column:
+        at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " "))))
+
+    return let(words, grams)
 
 
 def containment(train: DataFrame, train_id: str, train_text: str, held_out: DataFrame, held_out_id: str, held_out_text: str, n: int = 8, least: float = 0.5) -> DataFrame:
