@@ -127,7 +127,7 @@ def closing_state(text: str | None) -> tuple[int, str, str]:
         return _phrase(rest) if rest and rest[-1].isalpha() else (DONE, "", "")
     if last == "#":
         return (DONE, "", "") if re.search(r"####$", s) and not re.search(r"#{5,}$", s) else (CUT, "", "")
-    if last in ",;=+(<[{\\/&|^@%~–—¿¡:":
+    if last in ",;=+(<[{\\/&|^@%~–—¿¡:×÷±−·→≤≥≈≠":
         return (DONE, "", "") if last == ":" and _LABEL.match(stripped) or len(s) < 4 else (CUT, "", "")
     if last == "$":
         opening = re.match(r"^(?:#{2,}\s*)?(\$+)", stripped)
