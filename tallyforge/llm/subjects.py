@@ -37,6 +37,8 @@ BUCKETS, SIZE, GRAMS = 1 << 14, 16, (3, 4, 5)
 ROUNDS, SENTENCE_ROUNDS, SENTENCE_PASSES, RATE, SENTENCE_RATE = 30, 20, 2, 0.05, 0.1
 #: A little above an eighth, so that one sentence in passing in a short text stays below.
 SCORE, SHARE = 0.3, 0.14
+#: A document has at most so many subjects: those with the largest shares.
+MOST = 3
 
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _SENTENCE = re.compile(r"(?<=[.?!。？！])\s+|\n+")
@@ -288,6 +290,9 @@ def subjects_of(texts: list[str | None], scores: WordScores) -> list[list[int]]:
     share = np.bincount(owner[counted] * n_subjects + best[counted], length[counted], minlength=len(texts) * n_subjects).reshape(len(texts), n_subjects)
     for i, s in np.argwhere((share > 0) & (share >= SHARE * totals[:, None])):
         out[i].append(int(s))
+    for i, own in enumerate(out):
+        if len(own) > MOST:
+            out[i] = sorted(sorted(own, key=lambda s: (-share[i, s], s))[:MOST])
     return out
 
 
