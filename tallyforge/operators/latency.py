@@ -63,6 +63,12 @@ def rate_sweep(df: DataFrame, by: Sequence[str], strict: bool = False) -> DataFr
     )
 
 
+def warm_up(df: DataFrame, is_warm_up: Column, ok: Column) -> tuple[DataFrame, DataFrame]:
+    """One row with the number of warm-up requests and of those that succeeded; and the other requests."""
+    warm = F.coalesce(is_warm_up, F.lit(False))
+    return df.where(warm).agg(F.count("*").alias("warm_up"), F.count_if(F.coalesce(ok, F.lit(False))).alias("warm_up_ok")), df.where(~warm)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """All double columns rounded, for comparison across engines."""
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

@@ -20,6 +20,11 @@ def first_present(df: DataFrame, names: Sequence[str], default: object = None) -
     return next((F.col(n) for n in names if n in df.columns), F.lit(default))
 
 
+def preview(text: Column, n: int) -> Column:
+    """The first n code points of a text, for reports; null stays null."""
+    return F.substring(text, 1, n)
+
+
 def drop_empty(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.coalesce(F.col(column), F.lit("")) != "")
 

@@ -114,6 +114,7 @@ def oracle_sql() -> dict[str, str]:
         "latency_summary": f"SELECT user_id % 5 AS request_rate, count(*) AS total_requests, count(*) FILTER (WHERE event_type <> 'error') AS successful_requests, count(*) FILTER (WHERE event_type = 'error') AS failed_requests, {_stats('value', chr(39).join(['event_type <> ', 'error', '']), 'latency')} FROM events GROUP BY ALL",
         "rate_sweep": _sweep("run_id, request_rate", "error IS NULL"),
         "rate_sweep_strict": _sweep("request_rate", "error IS NULL AND coalesce(status, 0) = 200"),
+        "warm_up": "SELECT count(*) FILTER (WHERE request_rate <= 1) AS warm_up, count(*) FILTER (WHERE request_rate <= 1 AND error IS NULL) AS warm_up_ok, count(*) FILTER (WHERE NOT coalesce(request_rate <= 1, false)) AS measured FROM request_measurement",
         "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS total_requests, count(*) FILTER (WHERE event_type = 'error') AS failed_requests, round(min(value) FILTER (WHERE event_type <> 'error'), 6) AS latency_min, round(max(value) FILTER (WHERE event_type <> 'error'), 6) AS latency_max, round(avg(value) FILTER (WHERE event_type <> 'error'), 6) AS latency_mean FROM events GROUP BY 1",
         "event_sessions": "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n_events FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
         "numeric_last_match": f"SELECT row_id, {_last('teacher_completion', FINAL_NUMBER)} AS answer FROM teacher_outputs",
@@ -125,6 +126,7 @@ def oracle_sql() -> dict[str, str]:
         "math_match": "SELECT p_partkey, p_partkey % 3 = 0 AS matches FROM part",
         "choice_first": f"SELECT row_id, coalesce({first}, {_alone('A-Da-d')}) AS letter FROM teacher_outputs",
         "choice_last": "SELECT row_id, coalesce(upper(regexp_extract_all(teacher_completion, '(?i)(?:answer|option|choice)\\s*(?:is)?\\s*[:(]?\\s*([A-E])', 1)[-1]), " + _alone("A-Ea-e") + ") AS letter FROM teacher_outputs",
+        "score_first_choice": f"SELECT benchmark, count(*) AS total, count(letter) AS scorable, count(*) FILTER (WHERE letter = 'B') AS correct FROM (SELECT benchmark, CASE WHEN error IS NULL THEN coalesce({first}, {_alone('A-Da-d')}) END AS letter FROM {TEACHER}) GROUP BY 1",
         "answer_types": "SELECT count(*) FILTER (WHERE regexp_full_match(answer, '[A-Ea-e]')) AS multiple_choice, count(*) FILTER (WHERE NOT regexp_full_match(answer, '[A-Ea-e]')) AS free_text FROM eval_items",
         "score_mixed": "SELECT CASE WHEN regexp_full_match(trim(answer), '[A-Ea-e]') THEN 'multiple_choice' ELSE 'free_text' END AS answer_type, 'unknown' AS source_dataset, count(*) AS total, count(*) AS scorable, count(*) FILTER (WHERE NOT regexp_full_match(trim(answer), '[A-Ea-e]') OR upper(trim(answer)) = 'B') AS correct FROM eval_items WHERE trim(prompt) <> '' GROUP BY 1",
         "score_boxed": f"SELECT benchmark, count(*) AS total, count(*) FILTER (WHERE error IS NULL AND b IS NOT NULL) AS scorable, count(*) FILTER (WHERE error IS NULL AND coalesce(CASE WHEN n IS NULL THEN f = '15' ELSE abs(n - 15) <= 1e-4 * greatest(abs(n), 15) END, false)) AS correct, count(*) FILTER (WHERE error IS NULL AND b IS NULL) AS unboxed FROM (SELECT *, {_parsed('f')} AS n FROM (SELECT *, {_normal_form('b')} AS f FROM (SELECT benchmark, error, {boxed} AS b FROM {TEACHER}))) GROUP BY 1",
@@ -135,6 +137,7 @@ def oracle_sql() -> dict[str, str]:
         "runs_rollup": "SELECT kind, model_role, count(*) AS n_runs, sum(gpu_count)::BIGINT AS gpus FROM run_meta GROUP BY ROLLUP (kind, model_role)",
         "prompt_template": "SELECT item_id, 'Solve. Use \\boxed{{}}.' || chr(10) || chr(10) || 'Problem: ' || question || chr(10) AS prompt FROM eval_items",
         "prompt_format": "SELECT item_id, 'Solve. Use \\boxed{}.' || chr(10) || chr(10) || 'Problem: ' || question || chr(10) AS prompt FROM eval_items",
+        "prompt_preview": "SELECT row_id, substring(teacher_completion, 1, 120) AS preview FROM teacher_outputs",
         "options_block": "SELECT p_partkey, array_to_string(list_transform(range(1, least(3, len(w)) + 1), lambda i: ['A', 'B', 'C'][i] || ') ' || w[i]), chr(10)) AS options FROM (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part)",
         "prompt_union": f"SELECT 'item-' || (row_number() OVER (ORDER BY item_id) - 1) AS id, benchmark, prompt FROM eval_items UNION ALL SELECT 'extra-' || (row_number() OVER (ORDER BY row_id) - 1), benchmark, prompt FROM {TEACHER} WHERE benchmark = 'extra'",
         "mixed_examples": "SELECT trim(prompt) AS prompt, CASE WHEN regexp_full_match(trim(answer), '[A-Ea-e]') THEN upper(trim(answer)) ELSE trim(answer) END AS reference_answer, CASE WHEN regexp_full_match(trim(answer), '[A-Ea-e]') THEN 'multiple_choice' ELSE 'free_text' END AS answer_type, benchmark AS source_dataset FROM eval_items WHERE trim(prompt) <> ''",

@@ -49,6 +49,13 @@ def rate_sweep_strict(spark: SparkSession, d: str) -> DataFrame:
     return latency.rounded(latency.rate_sweep(table(spark, d, "request_measurement"), ["request_rate"], strict=True))
 
 
+@query
+def warm_up(spark: SparkSession, d: str) -> DataFrame:
+    """The requests of the smallest rate as warm-up, beside the number of the others."""
+    warm, rest = latency.warm_up(table(spark, d, "request_measurement"), F.col("request_rate") <= 1, F.col("error").isNull())
+    return warm.crossJoin(F.broadcast(rest.agg(F.count("*").alias("measured"))))  # one row on either side
+
+
 @query
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     out = telemetry.windowed(table(spark, d, "events"), "ts", "value", "event_type = 'error'")
@@ -115,6 +122,12 @@ def choice_last(spark: SparkSession, d: str) -> DataFrame:
     return _teacher(spark, d).select("row_id", choice.last_choice(F.col("teacher_completion")).alias("letter"))
 
 
+@query
+def score_first_choice(spark: SparkSession, d: str) -> DataFrame:
+    scored = accuracy.score_first_choice(_teacher(spark, d).withColumn("reference", F.lit("B")), "teacher_completion", "reference", "error")
+    return scored.groupBy("benchmark").agg(F.count("*").alias("total"), F.count_if("scorable").alias("scorable"), F.count_if("correct").alias("correct"))
+
+
 @query
 def answer_types(spark: SparkSession, d: str) -> DataFrame:
     return accuracy.answer_types(table(spark, d, "eval_items"), "answer")
@@ -181,6 +194,11 @@ def prompt_format(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", prompts.format_template("Solve. Use \\boxed{{}}.\n\nProblem: {question}\n", question=F.col("question")).alias("prompt"))
 
 
+@query
+def prompt_preview(spark: SparkSession, d: str) -> DataFrame:
+    return _teacher(spark, d).select("row_id", prompts.preview(F.col("teacher_completion"), 120).alias("preview"))
+
+
 @query
 def options_block(spark: SparkSession, d: str) -> DataFrame:
     labels = F.array(*[F.lit(x) for x in "123"])
