@@ -41,19 +41,22 @@ _OPTION = re.compile(
     re.IGNORECASE | re.DOTALL,
 )
 _OPTION_LINE = re.compile(r"^\s*(?:>\s*)?\(?[A-Ea-e]\)\s+(.*\S)\s*$")
+_INLINE_OPTION = re.compile(r"\s\(?([B-Eb-e])\)\s+[^()\n]{1,80}$")
 _LIST_LINE = re.compile(r"^\s*(?:[-*•–]|\d{1,3}[.)])\s+(.*\S)\s*$")
 _ANSWER_LINE = re.compile(r"^\s*(?:#{2,}\s*)?\$?\s*-?[\d.,/]+\s*%?\$?\s*$")
 _LAST_WORD = re.compile(r"([^\W\d_]+(?:['’\-][^\W\d_]+)*)\W*$")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _STOPS = ".?!。？！؟।"
+_ENTRY_NUMBER = re.compile(r"(?:(\n)\s*|[.?!:]\s+)\d{1,2}\.$")
 _RESULT = re.compile(r"(?:#{2,}|\bis|\bes|[:=])\s*\$?(\d+)$", re.IGNORECASE)
 _NUMBER = re.compile(r"\d+")
 
 
 def closing_key(text: str) -> str:
     """The last three tokens in a form that recurs: numbers as 0, a closing capitalised word as <C>."""
-    tail = text[-160:]
-    tokens = _TOKEN.findall(tail)[-3:]
+    tokens = _TOKEN.findall(text[-40:])[-3:]
+    if len(tokens) < 3 or len("".join(tokens)) > 36:
+        tokens = _TOKEN.findall(text[-160:])[-3:]
     return " ".join(_plain(tokens))
 
 
@@ -88,7 +91,7 @@ def number_cut(text: str) -> bool:
     if not found:
         return False
     own = found.group(1)
-    before = _NUMBER.findall(text[max(0, len(text) - 400) : len(text) - len(found.group(0))])
+    before = _NUMBER.findall(text[max(0, len(text) - 240) : len(text) - len(found.group(0))])
     if own in before[-3:]:
         return False
     return any(len(b) > len(own) and b.startswith(own) for b in before[-2:])
@@ -118,15 +121,17 @@ def closing_state(text: str | None) -> tuple[int, str, str]:
     line = s[s.rfind("\n") + 1 :]
     stripped = line.strip(_TRIM)
     if last in _STOPS:
-        if re.search(r"\n\s*\d{1,2}\.$", s) or re.search(r"[.?!:]\s+\d{1,2}\.$", s) and re.search(r"(?:^|\n|\s)1\. \w", s):
-            return CUT, "", ""  # the number of a list entry that is gone
+        if last == "." and s[-2:-1].isdigit():
+            number = _ENTRY_NUMBER.search(s[-16:])
+            if number and (number.group(1) == "\n" or re.search(r"(?:^|\s)1\. \w", s)):
+                return CUT, "", ""  # the number of a list entry that is gone
         return DONE, "", ""
     option = _OPTION.match(s) if len(s) < 120 else None
     if option:
         rest = (option.group(2) or "").strip(_TRIM)
         return _phrase(rest) if rest and rest[-1].isalpha() else (DONE, "", "")
     if last == "#":
-        return (DONE, "", "") if re.search(r"####$", s) and not re.search(r"#{5,}$", s) else (CUT, "", "")
+        return (DONE, "", "") if s.endswith("####") and not s.endswith("#####") else (CUT, "", "")
     if last in ",;=+(<[{\\/&|^@%~–—¿¡:×÷±−·→≤≥≈≠":
         return (DONE, "", "") if last == ":" and _LABEL.match(stripped) or len(s) < 4 else (CUT, "", "")
     if last == "$":
@@ -176,6 +181,9 @@ def closing_state(text: str | None) -> tuple[int, str, str]:
         kin = [x for x in before if x and (_OPTION_LINE.match(x) or _LIST_LINE.match(x)) and x.lstrip()[0].isalnum() == stripped[0].isalnum()]
         if any(x[-1].isalnum() for x in kin) or not kin and not stripped[0].isdigit():
             return WORD, "", last_word(s)
+    inline = _INLINE_OPTION.search(s[-100:])
+    if inline and chr(ord(inline.group(1)) - 1) + ")" in s:
+        return WORD, "", last_word(s)  # options in one line
     if len(s) > 15 and not re.search(r"[.?!,;:]", s):
         return WORD, "", last_word(s)  # a text stripped of all its punctuation
     return KEY, closing_key(s), last_word(s)
