@@ -213,3 +213,10 @@ def test_streaming_matches_batch(spark, tmp_path):
     found = {r["window_start"]: r for r in spark.table("windows").collect()}
     assert found.keys() == want.keys() and all(found[k]["total_requests"] == want[k]["total_requests"] and found[k]["latency_p50"] == want[k]["latency_p50"] for k in want)
     assert telemetry.sessions(batch, "ts", "user", "10 minutes").count() == 200
+
+
+def test_warm_up_and_preview(spark):
+    df = spark.createDataFrame([(True, None), (True, "x"), (False, None), (None, None)], "w boolean, error string")
+    warm, rest = latency.warm_up(df, F.col("w"), F.col("error").isNull())
+    assert tuple(warm.collect()[0]) == (2, 1) and rest.count() == 2
+    assert [r[0] for r in spark.createDataFrame([("abc😀d",), (None,)], "t string").select(prompts.preview(F.col("t"), 4)).collect()] == ["abc😀", None]
