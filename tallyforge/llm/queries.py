@@ -88,9 +88,9 @@ def teacher_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def teacher_defects(spark: SparkSession, d: str) -> DataFrame:
-    texts = stored_texts(spark, d).where(F.col("table_name") == "teacher_outputs")
-    context = table(spark, d, "teacher_outputs").select(F.col("prompt").alias("text"))
-    return pairs.defects(teacher_pairs(spark, d), truncation.truncated(texts, context))
+    """Defects of ``teacher_outputs``; truncation is decided over both tables, as in ``p2_found``."""
+    verdicts = truncation.truncated(stored_texts(spark, d), prompts(spark, d)).where(F.col("table_name") == "teacher_outputs")
+    return pairs.defects(teacher_pairs(spark, d), verdicts)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
