@@ -11,8 +11,10 @@ Two stages, in this order.
 2. *Closing words.* The rest are scored by how they close (``closing``): terminal punctuation, closed
    delimiters and marks of a cut decide at once. A list entry or option is whole if its closing word, or
    closing pair of words, ends phrases elsewhere in the corpus. A bare ending of running text is whole only if it
-   is an established formula: at least ``KEY_SHARE`` (``NUMBER_SHARE`` if it ends in a number) of all bare endings, and rarely followed by more
-   text. An ellipsis is the author's own if its phrase makes up ``ELL_SHARE`` of all closing ellipses.
+   is an established formula: at least ``KEY_SHARE`` (``NUMBER_SHARE`` if it ends in a number) of all bare endings, rarely followed by more
+   text or by the rest of its word, and not ending in what elsewhere only begins longer words. An ellipsis is the
+   author's own if its phrase makes up ``ELL_SHARE`` of all closing ellipses. One text counts for its closing
+   ``COPIES`` times at most, so that no group of copies makes a formula of its own ending.
 
 All statistics cover all rows. Nulls and blank texts are never flagged; repeated rows get equal verdicts;
 extra columns are ignored; an empty table gives an empty result.
@@ -42,6 +44,11 @@ LEAST_WORDS = 10
 #: A closing that ends in a number cannot be the fragment of a word, so a smaller share will do.
 KEY_SHARE, NUMBER_SHARE, KEY_LEAST, KEY_MID = 0.002, 0.0005, 3, 0.5
 ELL_SHARE, ELL_LEAST = 0.1, 5
+#: So many copies of one text count. A formula needs KEY_LEAST texts, of which one of under LEAST_WORDS words, that is
+#: likely to be given anew, counts for each of its copies up to COPIES.
+COPIES = 3
+#: From so many different texts on, a closing that ends in a capitalised word is taken to sign them.
+SIGNERS = 10
 #: A phrase closes if so many of the word's, or of the word pair's, occurrences stand before a boundary.
 WORD_CLOSES, PAIR_CLOSES, PAIR_LEAST = 0.08, 0.01, 2
 #: Closing words up to this number are looked up in each task; beyond it all are counted and joined.
@@ -120,7 +127,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             local = np.arange(len(hashes), dtype=np.uint64) - np.repeat(first, lengths).astype(np.uint64)
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes + local * np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64)))
             signed = lengths >= LEAST_WORDS
-            text_hash = np.where(signed, sums[starts[1:]] - sums[first], 0).astype(np.int64)
+            text_hash = (sums[starts[1:]] - sums[first]).astype(np.int64)
             stem = np.where(signed, sums[np.maximum(starts[1:] - 1, 0)] - sums[first], 0).astype(np.int64)
             # the words from which on a prefix is long enough: their place, and the hash of what stands before them
             least = np.maximum(LEAST_WORDS, np.ceil(SIMILARITY * (lengths - SHINGLE + 1)).astype(np.int64) + SHINGLE - 1)
@@ -165,25 +172,38 @@ def _key_pattern(key: str) -> tuple[str, re.Pattern]:
         p = "\n" if p == "\\n" else p
         literal += (" " if literal and literal[-1].isalnum() and p[0].isalnum() else "") + p
     head = r"(?<![^\W_])" if parts[0][0].isalnum() else ""
-    return literal, re.compile(head + r"[ \t]*".join(map(one, parts)) + r"(?![^\W_])(?=[ \t]*[^\s.?!])")
+    # a last word may be the beginning of a longer one, which goes on as well
+    tail = r"(?:(?=[^\W\d_])|(?![^\W_])(?=[ \t]*[^\s.?!]))" if parts[-1][0].isalpha() else r"(?![^\W_])(?=[ \t]*[^\s.?!])"
+    return literal, re.compile(head + r"[ \t]*".join(map(one, parts)) + tail)
+
+
+def _key_word(key: str) -> str | None:
+    """The word in which a closing key ends, if it is known."""
+    last = key.rsplit(" ", 1)[-1]
+    return last if last[0].isalpha() else None
 
 
 class _Asked(dict):
-    """Whether the word of a token is wanted, remembered."""
+    """Whether the word of a token is wanted, remembered; ``longer`` has those of ``ends`` that a longer word begins with."""
 
-    def __init__(self, wanted: frozenset[str] | None):
-        self.wanted = wanted
+    def __init__(self, wanted: frozenset[str] | None, ends: frozenset[str] = frozenset()):
+        self.wanted, self.ends, self.longer = wanted, ends, set()
+        self.sizes = sorted({len(w) for w in ends})
 
     def __missing__(self, token: str) -> bool:
         if len(self) > FLUSH:
             self.clear()
         found = _OWN_WORD.match(token)
+        if found and self.ends:
+            word = found.group(1)
+            self.longer.update(word[:k] for k in self.sizes if k < len(word) and word[:k] in self.ends)
         value = self[token] = bool(found) and (self.wanted is None or found.group(1) in self.wanted)
         return value
 
 
 def _counted(keys: dict[str, int], wanted: frozenset[str] | None):
-    """Counts, over whole texts, of what stands before more text: closing keys (k), words (w) and word pairs (p).
+    """Counts, over whole texts, of what stands before more text: closing keys (k), words (w) and word pairs (p);
+    and the closing keys' last words with which longer words begin (x).
 
     ``keys`` has for each closing key the count at which it is settled that it is no formula; a task that has
     met it so often looks for it no more, which leaves the verdict as it is.
@@ -196,7 +216,7 @@ def _counted(keys: dict[str, int], wanted: frozenset[str] | None):
         pairs: Counter[tuple[str, str]] = Counter()
         middle: Counter[str] = Counter()
         seen: Counter[str] = Counter()
-        asked = _Asked(wanted)
+        asked = _Asked(wanted, frozenset(filter(None, map(_key_word, keys))))
 
         def flush() -> pa.RecordBatch:
             n: Counter[str] = Counter(middle)
@@ -221,7 +241,9 @@ def _counted(keys: dict[str, int], wanted: frozenset[str] | None):
                     else:
                         n[item] += m
                         closes[item] += m * stop
-            for c in (singles, line_ends, pairs, middle):
+            for word in asked.longer:
+                n["x" + word] = 1
+            for c in (singles, line_ends, pairs, middle, asked.longer):
                 c.clear()
             names = list(n)
             return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n[k] for k in names], pa.int64()), pa.array([closes[k] for k in names], pa.int64())], names=["item", "n", "closing"])
@@ -253,7 +275,7 @@ def _counted(keys: dict[str, int], wanted: frozenset[str] | None):
                             pairs[found[at - 1], found[at]] += 1
             if len(pairs) > FLUSH:
                 yield flush()
-        if singles or middle:
+        if singles or middle or asked.longer:
             yield flush()
 
     return run
@@ -284,25 +306,33 @@ def truncated(texts: DataFrame, context: DataFrame | None = None) -> DataFrame:
     spark = texts.sparkSession
     texts = texts.select("table_name", F.col("row_id").cast("bigint").alias("row_id"), "run_id", "text")
     feats = materialize(texts.mapInArrow(_features, FEATURES), "closings")
-    keyed = feats.where(F.col("state").isin(closing.KEY, closing.ELL)).groupBy("state", "key").agg(F.count("*").alias("n"))
+    once = feats.where(F.col("state").isin(closing.KEY, closing.ELL)).groupBy("state", "key", "text_hash", F.col("bands").isNotNull().alias("signed")).agg(F.count("*").alias("n"))
+    counted = F.least("n", F.lit(COPIES))
+    # a closing name (a signature) that differs between texts is no cut: all rows count but further copies of the most frequent text
+    names = F.col("key").endswith("<C>") & (F.count("*") >= SIGNERS)
+    keyed = once.groupBy("state", "key").agg(F.when(names, F.sum("n") - F.max("n") + F.least(F.max("n"), F.lit(COPIES))).otherwise(F.sum(counted)).alias("n"), F.sum(F.when(F.col("signed"), 1).otherwise(counted)).alias("texts"))
     total = keyed.groupBy("state").agg(F.sum("n").alias("of"))
     # at most 1 / NUMBER_SHARE + 1 / ELL_SHARE rows, so they can go to every task
     frequent = keyed.join(F.broadcast(total), "state").where(
-        f"(state = {closing.KEY} AND n >= {KEY_LEAST} AND n >= IF(key LIKE '% 0', {NUMBER_SHARE}, {KEY_SHARE}) * of) OR (state = {closing.ELL} AND n >= {ELL_LEAST} AND n >= {ELL_SHARE} * of)"
+        f"(state = {closing.KEY} AND texts >= {KEY_LEAST} AND n >= IF(key LIKE '% 0', {NUMBER_SHARE}, {KEY_SHARE}) * of) OR (state = {closing.ELL} AND n >= {ELL_LEAST} AND n >= {ELL_SHARE} * of)"
     ).collect()
     ends = {r["key"]: r["n"] for r in frequent if r["state"] == closing.KEY}
     own = [r["key"] for r in frequent if r["state"] == closing.ELL]
     asked = feats.where(F.col("word").isNotNull() & F.col("state").isin(closing.WORD, closing.KEY)).where(
         (F.col("state") == closing.WORD) | F.col("key").endswith("<C>")).select("word").distinct()
     few = asked.limit(LOOKUP_MOST + 1).collect()
-    wanted = frozenset(r["word"] for r in few) if len(few) <= LOOKUP_MOST else None
+    wanted = frozenset(r["word"] for r in few) | frozenset(filter(None, map(_key_word, ends))) if len(few) <= LOOKUP_MOST else None
     corpus = texts.select("text") if context is None else texts.select("text").unionByName(context.select("text"))
     counts = corpus.mapInArrow(_counted({k: int(KEY_MID * n) + 1 for k, n in ends.items()}, wanted), "item string, n bigint, closing bigint").groupBy("item").agg(F.sum("n").alias("n"), F.sum("closing").alias("closing"))
     if wanted is not None:
-        counts = counts.where(F.substring("item", 1, 1).isin("k", "w") | (F.col("closing") > 0))
+        counts = counts.where(F.substring("item", 1, 1).isin("k", "w", "x") | (F.col("closing") > 0))
     counts = materialize(counts, "counts")
     mid = {r["item"][1:]: r["n"] for r in counts.where(F.col("item").startswith("k")).collect()}  # one row a key
-    formulas = [k for k, n in ends.items() if mid.get(k, 0) < KEY_MID * n]
+    # a last word that stands nowhere but at an end, while longer ones begin with it, is a part of one; one row a key
+    last = sorted({w for w in map(_key_word, ends) if w})
+    seen = {r["item"] for r in counts.where(F.col("item").isin([kind + w for w in last for kind in "wx"])).select("item").collect()} if last else set()
+    parts = {w for w in last if "x" + w in seen and "w" + w not in seen}
+    formulas = [k for k, n in ends.items() if mid.get(k, 0) < KEY_MID * n and _key_word(k) not in parts]
     words = counts.where(F.col("item").startswith("w")).select(F.expr("substring(item, 2)").alias("word"), F.col("n").alias("word_n"), F.col("closing").alias("word_closing"))
     pairs = counts.where(F.col("item").startswith("p")).select(F.expr("substring(item, 2)").alias("pair"), F.col("n").alias("pair_n"), F.col("closing").alias("pair_closing"))
     copies = _copies(feats).withColumn("copy", F.lit(True))

@@ -77,3 +77,23 @@ def test_signature_is_of_the_set_of_shingles():
     bands, shingles = truncation.signatures(np.concatenate((a, a, a[:3], a[:0], a[1:])), np.array([0, 8, 16, 19, 19, 26]))
     assert shingles.tolist() == [4, 4, 0, 0, 3]
     assert (bands[0] == bands[1]).all() and not bands[2].any() and not bands[3].any() and bands[4].all()
+
+
+def verdicts(spark, texts):
+    df = spark.createDataFrame([("t", i, "r", x) for i, x in enumerate(texts)], "table_name string, row_id bigint, run_id string, text string")
+    return {r["row_id"]: r["truncated"] for r in truncation.truncated(df.repartition(3)).collect()}
+
+
+def test_copies_make_no_formula_of_their_ending(spark):
+    """A hot group of one cut text, at a fragment or at a whole word, and a template cut at one length stay cut."""
+    whole = [FULL.format(i, i + 1, i * (i + 1)) + f" Then they take {i} tables away.\n#### see above" for i in range(40)]
+    hot = ["Our first remark of the day is about a small boat on the northern canal, whose mast"] * 30
+    piece = ["Our next remark of the day is about a large barge on the northern canal, whose cap"] * 30
+    template = [f"A record of {i} about the quantity that was read off the gauge in the morning shows {i}: ta" for i in range(30)]
+    texts = whole + hot + piece + template
+    assert [i for i, cut in verdicts(spark, texts).items() if cut] and {i for i, cut in verdicts(spark, texts).items() if cut} == set(range(40, len(texts)))
+
+
+def test_fragments_go_on_in_their_word():
+    _, pattern = truncation._key_pattern("start , th")
+    assert pattern.search("at the start, that is 9.") and pattern.search("start, th and") and not pattern.search("start, th.")
