@@ -254,13 +254,14 @@ def _counted(keys: dict[str, int], wanted: frozenset[str] | None):
                     continue
                 text = text.rstrip(closing._TRIM)
                 low = text.lower()
-                for at, (key, literal, pattern) in enumerate(patterns):
+                settled = False
+                for key, literal, pattern in patterns:
                     if literal in low and (found := pattern.findall(text)):
                         seen[key] += len(found)
                         middle["k" + key] += len(found)
-                        if seen[key] >= keys[key]:
-                            del patterns[at]
-                            break
+                        settled = settled or seen[key] >= keys[key]
+                if settled:
+                    patterns = [x for x in patterns if seen[x[0]] < keys[x[0]]]
                 lines = low.split("\n")
                 lines = [found for x in lines if (found := x.split())]
                 if lines and lines[-1] and low[-1] not in closing._STOPS:

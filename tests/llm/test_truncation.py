@@ -97,3 +97,10 @@ def test_copies_make_no_formula_of_their_ending(spark):
 def test_fragments_go_on_in_their_word():
     _, pattern = truncation._key_pattern("start , th")
     assert pattern.search("at the start, that is 9.") and pattern.search("start, th and") and not pattern.search("start, th.")
+
+
+def test_a_settled_key_costs_no_other_key_its_count():
+    batch = truncation.pa.RecordBatch.from_pydict({"text": ["One, as it is so. Two, but we do so. It ends."]})
+    keys = {"as it is": 1, "but we do": 5}
+    out = [r for b in truncation._counted(keys, frozenset())(iter([batch])) for r in b.to_pylist()]
+    assert {r["item"]: r["n"] for r in out if r["item"][0] == "k"} == {"kas it is": 1, "kbut we do": 1}
