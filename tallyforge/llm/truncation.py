@@ -3,7 +3,8 @@
 Two stages, in this order.
 
 1. *Near-copies.* Every text gets a min-hash signature of its five-word shingles, in ``BANDS`` bands. A
-   text that does not end in a full stop and shares a band with another is aligned with it: the longer
+   text that shares a band with another is aligned with it, unless it ends in a stop that can only be the end of a
+   sentence (not that of ``3.`` in ``3.5`` or of ``Dr.``) or is known to be cut by a mark; marks of an ellipsis are stripped: the longer
    copy's word prefixes are looked up by hash (an equi-join, so a bucket of any size stays linear and no
    pairs within it are formed), and the shorter is flagged where its alignment ends inside a word or a
    sentence of the other and the similarity is ``SIMILARITY`` or more. One being a prefix of the other,
@@ -60,6 +61,11 @@ _OWN_WORD = re.compile(r"^\W*([^\W\d_]+(?:['’\-][^\W\d_]+)*)(\W*)$")
 _STOP = re.compile(r"^\$?(?:[?!,;:)。？！]|\.(?!\.))")
 _OWN_PAIR = re.compile(r"(?:[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+(?:[.,]\d+)*)$")
 _NUMBERS = re.compile(r"\d+(?:[.,]\d+)*")
+#: A stop, with closing marks behind it, and what may stand before a stop within a sentence: a figure, a letter, an abbreviation.
+_ENDED = re.compile(r"[.?!。？！؟।…][\"'”’»」』)\]>*_`$}]*$")
+_FIGURE, _INITIAL = re.compile(r"\d\.$"), re.compile(r"(?:^|[^\w])[^\W\d_]\.$")
+_ABBREVIATION = re.compile(r"^\W*(?:dr|dra|mr|mrs|prof|sr|sra|vs|e\.g|i\.e|p\.ej|cf|approx|aprox|fig|eq)\.$")
+_ELLIPSIS = re.compile(r"(?:\.{2,}|…)[.…]*$")
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) for k in range(BANDS * ROWS)], dtype=np.uint64)
 
 FEATURES = (
@@ -106,6 +112,17 @@ def signatures(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return bands, shingles
 
 
+def _open_tail(state: int, token: str) -> str | None:
+    """The last token as it is aligned, empty if it is but an ellipsis; null if nothing of its sentence can follow."""
+    if state == closing.CUT or not token.strip("#"):
+        return None
+    if state == closing.ELL:
+        return _ELLIPSIS.sub("", token)
+    if not _ENDED.search(token) or _FIGURE.search(token) or _INITIAL.search(token) or _ABBREVIATION.match(token):
+        return token
+    return None
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     for batch in batches:
@@ -128,19 +145,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes + local * np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64)))
             signed = lengths >= LEAST_WORDS
             text_hash = (sums[starts[1:]] - sums[first]).astype(np.int64)
-            stem = np.where(signed, sums[np.maximum(starts[1:] - 1, 0)] - sums[first], 0).astype(np.int64)
+            tails = [_open_tail(state, flat[e - 1]) if g else None for g, e, (state, _, _) in zip(signed.tolist(), starts[1:].tolist(), states)]
+            ends = starts[1:] - np.array([1 + (t == "") for t in tails], np.int64)  # where the aligned last word stands
+            tails = [flat[e] if t == "" else t for t, e in zip(tails, ends.tolist())]
+            stem = np.where(signed, sums[np.maximum(ends, 0)] - sums[first], 0).astype(np.int64)
             # the words from which on a prefix is long enough: their place, and the hash of what stands before them
             least = np.maximum(LEAST_WORDS, np.ceil(SIMILARITY * (lengths - SHINGLE + 1)).astype(np.int64) + SHINGLE - 1)
             sizes = np.where(signed, lengths + 1 - least, 0)
             offsets = np.concatenate(([0], np.cumsum(sizes)))
             at = np.arange(offsets[-1]) + np.repeat(first + least - 1 - offsets[:-1], sizes)
             heads = (sums[at] - np.repeat(sums[first], sizes)).astype(np.int64)
-        bare = [bool(g) and state in (closing.WORD, closing.KEY, closing.ELL) for g, (state, _, _) in zip(signed.tolist(), states)]
         pairs = [
             " ".join(closing._TOKEN.findall(_NUMBERS.sub("0", t[-160:].rstrip(closing._TRIM)))[-2:]).replace("\n", "\\n") if state == closing.WORD and word else None
             for t, (state, _, word) in zip(lower, states)
         ]
-        tails = [flat[e - 1] if b else None for b, e in zip(bare, starts[1:].tolist())]
         followed = pa.StructArray.from_arrays([pa.array(heads), pa.array([flat[k] for k in at.tolist()], pa.string()), pa.array(~ends_line[at])], names=["h", "w", "mid"])
         gone = pa.array(~signed)
         columns = [
@@ -148,7 +166,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([x[0] for x in states], pa.int8()), pa.array([x[1] or None for x in states], pa.string()), pa.array([x[2] or None for x in states], pa.string()), pa.array(pairs, pa.string()),
             pa.array(text_hash),
             pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.astype(np.int64).ravel()), mask=gone),
-            pa.array(stem, mask=~np.array(bare, bool)), pa.array(tails, pa.string()),
+            pa.array(stem, mask=np.array([t is None for t in tails], bool)), pa.array(tails, pa.string()),
             pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), followed, mask=gone),
         ]
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
@@ -286,14 +304,17 @@ def _copies(feats: DataFrame) -> DataFrame:
     """(prefix, tail) of the texts whose near-copy goes on within the word or sentence where they end."""
     signed = feats.where("bands IS NOT NULL")
     banded = signed.select("text_hash", F.explode("bands").alias("band"), F.col("prefix").isNotNull().alias("bare"))
-    # a band that holds a bare ending and at least one other text
+    # a band that holds an ending that may go on and at least one other text
     met = banded.groupBy("band").agg(F.max("bare").alias("bare"), F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("bare AND a <> b").select("band")
     near = banded.select("text_hash", "band").join(met, "band", "left_semi").select("text_hash").distinct()
     goes_on = signed.join(near, "text_hash", "left_semi").select(F.explode("tails").alias("t")).select(F.col("t.h").alias("prefix"), F.col("t.w").alias("w"), F.col("t.mid").alias("mid"))
     bare = signed.where("prefix IS NOT NULL").select("prefix", "tail").distinct()
     return bare.join(goes_on, "prefix").where(
-        # the word goes on in letters or digits, or more words follow in its line
-        "(w = tail AND mid) OR (length(w) > length(tail) AND startswith(w, tail) AND substring(w, length(tail) + 1, 1) RLIKE '[\\\\p{L}\\\\p{N}]')"
+        # the word goes on in letters or digits (a figure with its stop in digits only), its sentence behind a comma, or more words follow in its line
+        "CASE WHEN tail RLIKE '[0-9][.]$' THEN startswith(w, tail) AND substring(w, length(tail) + 1, 1) RLIKE '[0-9]'"
+        f" WHEN tail RLIKE '[.]$' AND w = tail THEN mid AND tail RLIKE '{_ABBREVIATION.pattern}'".replace("\\", "\\\\") +
+        " ELSE (w = tail OR w RLIKE '([.]{2,}|…)$' AND regexp_replace(w, '([.]{2,}|…)[.…]*$', '') = tail) AND mid"
+        " OR length(w) > length(tail) AND startswith(w, tail) AND substring(w, length(tail) + 1, 1) RLIKE '[\\\\p{L}\\\\p{N},;]' END"
     ).select("prefix", "tail").distinct()
 
 

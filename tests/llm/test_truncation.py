@@ -104,3 +104,28 @@ def test_a_settled_key_costs_no_other_key_its_count():
     keys = {"as it is": 1, "but we do": 5}
     out = [r for b in truncation._counted(keys, frozenset())(iter([batch])) for r in b.to_pylist()]
     assert {r["item"]: r["n"] for r in out if r["item"][0] == "k"} == {"kas it is": 1, "kbut we do": 1}
+
+
+LEAD = "First we write down all of the known amounts that the workshop has on the list and then we add them up one by one until the total is"
+
+
+def test_whole_looking_ends_that_a_full_copy_carries_on(spark):
+    """After bold text, a bracket, a decimal point, an abbreviation or an ellipsis; but not where a sentence is over."""
+    ends = [("\n**84 tiles**", " a day."), (" (see the list.", ") for it."), (" 3.", "5 tiles."), (" due to Dr.", " Vale."), (" for the app...", None), (" 🙂", " for all of us.")]
+    cut = [LEAD.replace("First", f"Word{i}") + a for i, (a, _) in enumerate(ends) if i != 1]
+    full = [LEAD.replace("First", f"Word{i}") + (a + b if b else " for the apples here.") for i, (a, b) in enumerate(ends) if i != 1]
+    over = [(" 84.", " It fits."), (" \"so many.\"", " It fits."), (" (as it was.)", " It fits."), ("\n####", " 84")]
+    done = [LEAD.replace("First", f"Item{i}") + a for i, (a, _) in enumerate(over)]
+    done += [LEAD.replace("First", f"Item{i}") + a + b for i, (a, b) in enumerate(over[:3])]
+    texts = cut + done + full
+    found = verdicts(spark, texts)
+    assert {i for i in range(len(cut) + len(done)) if found[i]} == set(range(len(cut)))
+
+
+def test_signatures_of_one_letter_are_whole_though_copied(spark):
+    """A few signed texts, each copied often, are no cut beside many other endings."""
+    names = ["Quill", "Ruvo", "Pavi", "Wim", "Sella", "Lunet", "Fenja", "Oswin", "Marit", "Jasko", "Niamo", "Ilvo"]
+    signed = [f"I'm sorry, but I can't come on Friday. Thank you for thinking of me. {n}" for n in names] * 400
+    other = [FULL.format(i, i + 1, i * (i + 1)) + f" So we are done, says {names[i % 12]} again.\n#### {i}" for i in range(20_000)]
+    found = verdicts(spark, signed + other)
+    assert not any(found[i] for i in range(len(signed)))
