@@ -49,7 +49,7 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_rank_error(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each percentile of ``p1_percentiles`` is within the stated error, against the exact ranks of all rows."""
+    """Whether each percentile of ``p1_percentiles`` that is merged over days (``on_day`` null) is within the stated error, against the exact ranks of all rows."""
     rows = latencies(spark, d)
     days = rows.where("dim = 'run_id'").select("table_name", F.lit("day").alias("dim"), F.col("day").cast("string").alias("key"), "latency_ms")
     values = rows.select("table_name", "dim", "key", "latency_ms").unionByName(days).where("latency_ms IS NOT NULL AND NOT isnan(latency_ms)")
