@@ -2,13 +2,10 @@
 
 Two stages, in this order.
 
-1. *Near-copies.* Every text gets a min-hash signature of its five-word shingles, in ``BANDS`` bands. A
-   text that shares a band with another is aligned with it, unless it ends in a stop that can only be the end of a
-   sentence (not that of ``3.`` in ``3.5`` or of ``Dr.``) or is known to be cut by a mark; marks of an ellipsis are stripped: the longer
-   copy's word prefixes are looked up by hash (an equi-join, so a bucket of any size stays linear and no
-   pairs within it are formed), and the shorter is flagged where its alignment ends inside a word or a
-   sentence of the other and the similarity is ``SIMILARITY`` or more. One being a prefix of the other,
-   the similarity is the quotient of their shingle counts and is verified exactly.
+1. *Near-copies* (``nearcopy``). Every text that may go on - one that ends neither in a stop that can only be the end of a
+   sentence nor in a mark of a cut - is held against the beginnings of all texts by min-hash bands over five-word
+   shingles; pairs are verified and aligned, and the text is flagged if its alignment ends inside a word or
+   a sentence of the other.
 2. *Closing words.* The rest are scored by how they close (``closing``): terminal punctuation, closed
    delimiters and marks of a cut decide at once. A list entry or option is whole if its closing word, or
    closing pair of words, ends phrases elsewhere in the corpus. A bare ending of running text is whole only if it
@@ -30,22 +27,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm import closing
-from tallyforge.llm.hashing import WordHashes, mix
+from tallyforge.llm import closing, nearcopy
+from tallyforge.llm.hashing import WordHashes
 from tallyforge.session import materialize
 
-#: Three bands of one row: a pair of similarity 0.8 shares one with probability 0.992. A band that is shared by
-#: chance costs nothing more than its rows, as no pairs within a band are formed.
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 3, 1
-#: A text of fewer words has too few shingles for a signature.
-LEAST_WORDS = 10
 #: A closing that ends in a number cannot be the fragment of a word, so a smaller share will do.
 KEY_SHARE, NUMBER_SHARE, KEY_LEAST, KEY_MID = 0.002, 0.0005, 3, 0.5
 ELL_SHARE, ELL_LEAST = 0.1, 5
-#: So many copies of one text count. A formula needs KEY_LEAST texts, of which one of under LEAST_WORDS words, that is
+#: So many copies of one text count. A formula needs KEY_LEAST texts, of which one of under nearcopy.LEAST_WORDS words, that is
 #: likely to be given anew, counts for each of its copies up to COPIES.
 COPIES = 3
 #: From so many different texts on, a closing that ends in a capitalised word is taken to sign them.
@@ -54,122 +47,59 @@ SIGNERS = 10
 WORD_CLOSES, PAIR_CLOSES, PAIR_LEAST = 0.08, 0.01, 2
 #: Closing words up to this number are looked up in each task; beyond it all are counted and joined.
 LOOKUP_MOST = 100_000
-FLUSH = 200_000
+FLUSH, CHUNK = 200_000, 256
 
 #: A token between blanks: its word and what follows it; a stop right behind; the word or number of the one before.
 _OWN_WORD = re.compile(r"^\W*([^\W\d_]+(?:['’\-][^\W\d_]+)*)(\W*)$")
 _STOP = re.compile(r"^\$?(?:[?!,;:)。？！]|\.(?!\.))")
 _OWN_PAIR = re.compile(r"(?:[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+(?:[.,]\d+)*)$")
 _NUMBERS = re.compile(r"\d+(?:[.,]\d+)*")
-#: A stop, with closing marks behind it, and what may stand before a stop within a sentence: a figure, a letter, an abbreviation.
-_ENDED = re.compile(r"[.?!。？！؟।…][\"'”’»」』)\]>*_`$}]*$")
-_FIGURE, _INITIAL = re.compile(r"\d\.$"), re.compile(r"(?:^|[^\w])[^\W\d_]\.$")
-_ABBREVIATION = re.compile(r"^\W*(?:dr|dra|mr|mrs|prof|sr|sra|vs|e\.g|i\.e|p\.ej|cf|approx|aprox|fig|eq)\.$")
-_ELLIPSIS = re.compile(r"(?:\.{2,}|…)[.…]*$")
-_SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) for k in range(BANDS * ROWS)], dtype=np.uint64)
 
 FEATURES = (
-    "table_name string, row_id bigint, run_id string, state tinyint, key string, word string, pair string, "
-    "text_hash bigint, bands array<bigint>, prefix bigint, tail string, tails array<struct<h: bigint, w: string, mid: boolean>>"
+    "table_name string, row_id bigint, run_id string, id bigint, state tinyint, key string, word string, pair string, "
+    "text_hash bigint, signed boolean, keys array<bigint>, mark bigint"
 )
 _ARROW = pa.schema(
     [
-        ("table_name", pa.string()), ("row_id", pa.int64()), ("run_id", pa.string()), ("state", pa.int8()), ("key", pa.string()), ("word", pa.string()), ("pair", pa.string()),
-        ("text_hash", pa.int64()), ("bands", pa.list_(pa.int64())), ("prefix", pa.int64()), ("tail", pa.string()),
-        ("tails", pa.list_(pa.struct([("h", pa.int64()), ("w", pa.string()), ("mid", pa.bool_())]))),
+        ("table_name", pa.string()), ("row_id", pa.int64()), ("run_id", pa.string()), ("id", pa.int64()), ("state", pa.int8()), ("key", pa.string()), ("word", pa.string()), ("pair", pa.string()),
+        ("text_hash", pa.int64()), ("signed", pa.bool_()), ("keys", pa.list_(pa.int64())), ("mark", pa.int64()),
     ]
 )
 
 
-def signatures(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Min-hash bands of the texts whose word hashes lie one after another; ``starts`` has one more entry than texts.
-
-    Returns (bands by text, number of shingles by text); a text without a shingle gets zeros.
-    """
-    lengths = np.diff(starts)
-    shingles = np.maximum(lengths - SHINGLE + 1, 0)
-    bands = np.zeros((len(lengths), BANDS), dtype=np.uint64)
-    if not shingles.sum():
-        return bands, shingles
-    with np.errstate(over="ignore"):
-        rolled = np.zeros(len(hashes), dtype=np.uint64)
-        for k in range(SHINGLE):
-            rolled[: len(hashes) - SHINGLE + 1] += hashes[k : len(hashes) - SHINGLE + 1 + k] * np.uint64((2 * k + 3) * 0x9E3779B1 | 1)
-        inside = np.ones(len(hashes), dtype=bool)
-        for k in range(1, SHINGLE):
-            at = starts[1:] - k
-            inside[at[(at >= 0) & (at < len(hashes))]] = False
-        # a text shorter than a shingle has all its positions struck out by its own end or its successor's
-        rolled = mix(rolled[inside & (np.arange(len(hashes)) <= len(hashes) - SHINGLE)])
-        has = shingles > 0
-        first = np.concatenate(([0], np.cumsum(shingles[has])[:-1]))
-        least = [np.minimum.reduceat(mix(rolled ^ seed), first) for seed in _SEEDS]
-        for b in range(BANDS):
-            value = np.full(int(has.sum()), b + 1, dtype=np.uint64)
-            for r in range(ROWS):
-                value = mix(value * np.uint64(31) + least[b * ROWS + r])
-            bands[has, b] = value
-    return bands, shingles
-
-
-def _open_tail(state: int, token: str) -> str | None:
-    """The last token as it is aligned, empty if it is but an ellipsis; null if nothing of its sentence can follow."""
-    if state == closing.CUT or not token.strip("#"):
-        return None
-    if state == closing.ELL:
-        return _ELLIPSIS.sub("", token)
-    if not _ENDED.search(token) or _FIGURE.search(token) or _INITIAL.search(token) or _ABBREVIATION.match(token):
-        return token
-    return None
-
-
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHashes()
+    """How each text closes; and of each that may go on its near-copy keys and mark."""
+    hashes = WordHashes()
     for batch in batches:
         texts = batch.column("text").to_pylist()
         states = [closing.closing_state(t) for t in texts]
-        lower = [t.lower() if t else "" for t in texts]
-        lines = [[found for x in t.split("\n") if (found := x.split())] for t in lower]
-        flat_lines = list(chain.from_iterable(lines))
-        flat = list(chain.from_iterable(flat_lines))
-        lengths = np.array([sum(map(len, x)) for x in lines], np.int64)
-        starts = np.concatenate(([0], np.cumsum(lengths)))
-        ends_line = np.zeros(len(flat), bool)
-        if flat_lines:
-            ends_line[np.cumsum(list(map(len, flat_lines))) - 1] = True
-        hashes = words.of(flat)
-        bands, _ = signatures(hashes, starts)
-        n, first = len(texts), starts[:-1]
-        with np.errstate(over="ignore"):
-            local = np.arange(len(hashes), dtype=np.uint64) - np.repeat(first, lengths).astype(np.uint64)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes + local * np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64)))
-            signed = lengths >= LEAST_WORDS
-            text_hash = (sums[starts[1:]] - sums[first]).astype(np.int64)
-            tails = [_open_tail(state, flat[e - 1]) if g else None for g, e, (state, _, _) in zip(signed.tolist(), starts[1:].tolist(), states)]
-            ends = starts[1:] - np.array([1 + (t == "") for t in tails], np.int64)  # where the aligned last word stands
-            tails = [flat[e] if t == "" else t for t, e in zip(tails, ends.tolist())]
-            stem = np.where(signed, sums[np.maximum(ends, 0)] - sums[first], 0).astype(np.int64)
-            # the words from which on a prefix is long enough: their place, and the hash of what stands before them
-            least = np.maximum(LEAST_WORDS, np.ceil(SIMILARITY * (lengths - SHINGLE + 1)).astype(np.int64) + SHINGLE - 1)
-            sizes = np.where(signed, lengths + 1 - least, 0)
-            offsets = np.concatenate(([0], np.cumsum(sizes)))
-            at = np.arange(offsets[-1]) + np.repeat(first + least - 1 - offsets[:-1], sizes)
-            heads = (sums[at] - np.repeat(sums[first], sizes)).astype(np.int64)
-        pairs = [
-            " ".join(closing._TOKEN.findall(_NUMBERS.sub("0", t[-160:].rstrip(closing._TRIM)))[-2:]).replace("\n", "\\n") if state == closing.WORD and word else None
-            for t, (state, _, word) in zip(lower, states)
-        ]
-        followed = pa.StructArray.from_arrays([pa.array(heads), pa.array([flat[k] for k in at.tolist()], pa.string()), pa.array(~ends_line[at])], names=["h", "w", "mid"])
-        gone = pa.array(~signed)
+        pairs, copies, signed, opened, rows = [], [], [], [], []
+        for k, (text, (state, _, word)) in enumerate(zip(texts, states)):
+            pairs.append(_closing_pair(text) if state == closing.WORD and word else None)
+            words = text.lower().split() if text else []
+            if state in (closing.KEY, closing.ELL):
+                copies.append(xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63))
+                signed.append(len(words) >= nearcopy.LEAST_WORDS)
+            else:
+                copies.append(None)
+                signed.append(None)
+            ended = nearcopy.open_end(words, state)
+            if ended:
+                opened.append(ended[0])
+                rows.append(k)
+        own, marks = nearcopy.last_keys(hashes.of(list(chain.from_iterable(opened))), np.array([len(x) for x in opened], np.int64))
+        found = dict(zip(rows, zip(own.astype(np.int64).tolist(), marks.astype(np.int64).tolist())))
+        asked = [found.get(k, (None, None)) for k in range(len(texts))]
         columns = [
-            *(batch.column(c) for c in ("table_name", "row_id", "run_id")),
-            pa.array([x[0] for x in states], pa.int8()), pa.array([x[1] or None for x in states], pa.string()), pa.array([x[2] or None for x in states], pa.string()), pa.array(pairs, pa.string()),
-            pa.array(text_hash),
-            pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.astype(np.int64).ravel()), mask=gone),
-            pa.array(stem, mask=np.array([t is None for t in tails], bool)), pa.array(tails, pa.string()),
-            pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), followed, mask=gone),
-        ]
-        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+            *(batch.column(c) for c in ("table_name", "row_id", "run_id", "id")),
+            *([x[0] for x in states], [x[1] or None for x in states], [x[2] or None for x in states], pairs, copies, signed, *([x[k] for x in asked] for k in range(2))),
+        ]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+
+
+def _closing_pair(text: str) -> str:
+    """The last two tokens, numbers as 0."""
+    return " ".join(closing._TOKEN.findall(_NUMBERS.sub("0", text[-160:].lower().rstrip(closing._TRIM)))[-2:]).replace("\n", "\\n")
 
 
 def _key_pattern(key: str) -> tuple[str, re.Pattern]:
@@ -219,6 +149,36 @@ class _Asked(dict):
         return value
 
 
+def _tokens(lower: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Tokens of the texts one after another, the places of the first of each line, and of the last of each but a text's last line.
+
+    A text's last token is left out unless a stop follows: where the text ends tells nothing. A mark stands in its place.
+    """
+    cut = [t + " \0" if not t or t[-1] in closing._STOPS else t[: len(t) - len(t.rsplit(None, 1)[-1])] + " \0" for t in lower]
+    lines = [found for x in "\n".join(cut).split("\n") if (found := x.split())]
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    ends = np.cumsum(sizes)
+    flat = list(chain.from_iterable(lines))
+    return flat, ends - sizes, ends - 1
+
+
+def _following(texts: list[str], patterns: list[tuple[str, str, re.Pattern]]) -> Counter[str]:
+    """How often each closing key has more of its sentence behind it: looked up where its literal stands."""
+    found: Counter[str] = Counter()
+    whole = "\v".join(texts)  # white space that no key holds
+    low = whole.lower()
+    aligned = len(low) == len(whole)
+    for key, literal, pattern in patterns:
+        if not literal or not aligned:
+            found[key] += sum(len(pattern.findall(t)) for t in texts if literal in t.lower())
+            continue
+        at = low.find(literal)
+        while at >= 0:
+            found[key] += pattern.match(whole, at) is not None
+            at = low.find(literal, at + len(literal))
+    return +found
+
+
 def _counted(keys: dict[str, int], wanted: frozenset[str] | None):
     """Counts, over whole texts, of what stands before more text: closing keys (k), words (w) and word pairs (p);
     and the closing keys' last words with which longer words begin (x).
@@ -267,31 +227,23 @@ def _counted(keys: dict[str, int], wanted: frozenset[str] | None):
             return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n[k] for k in names], pa.int64()), pa.array([closes[k] for k in names], pa.int64())], names=["item", "n", "closing"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if not text:
-                    continue
-                text = text.rstrip(closing._TRIM)
-                low = text.lower()
+            texts = [t.rstrip(closing._TRIM) for t in batch.column("text").to_pylist() if t]
+            for lo in range(0, len(texts), CHUNK):
+                part = texts[lo : lo + CHUNK]
                 settled = False
-                for key, literal, pattern in patterns:
-                    if literal in low and (found := pattern.findall(text)):
-                        seen[key] += len(found)
-                        middle["k" + key] += len(found)
-                        settled = settled or seen[key] >= keys[key]
+                for key, n in _following(part, patterns).items():
+                    seen[key] += n
+                    middle["k" + key] += n
+                    settled = settled or seen[key] >= keys[key]
                 if settled:
                     patterns = [x for x in patterns if seen[x[0]] < keys[x[0]]]
-                lines = low.split("\n")
-                lines = [found for x in lines if (found := x.split())]
-                if lines and lines[-1] and low[-1] not in closing._STOPS:
-                    lines[-1].pop()  # where the text ends tells nothing
-                for found in lines[:-1]:
-                    if asked[found[-1]]:
-                        line_ends[found[-1]] += 1
-                for found in lines:
-                    for at in [k for k, x in enumerate(found) if asked[x]]:
-                        singles[found[at]] += 1
-                        if at:
-                            pairs[found[at - 1], found[at]] += 1
+                flat, firsts, lasts = _tokens([t.lower() for t in part])
+                hit = np.fromiter(map(asked.__getitem__, flat), bool, len(flat))
+                at = np.flatnonzero(hit)
+                singles.update([flat[k] for k in at.tolist()])
+                line_ends.update([flat[k] for k in lasts[hit[lasts]].tolist()])
+                hit[firsts] = False
+                pairs.update([(flat[k - 1], flat[k]) for k in np.flatnonzero(hit).tolist()])
             if len(pairs) > FLUSH:
                 yield flush()
         if singles or middle or asked.longer:
@@ -300,24 +252,6 @@ def _counted(keys: dict[str, int], wanted: frozenset[str] | None):
     return run
 
 
-def _copies(feats: DataFrame) -> DataFrame:
-    """(prefix, tail) of the texts whose near-copy goes on within the word or sentence where they end."""
-    signed = feats.where("bands IS NOT NULL")
-    banded = signed.select("text_hash", F.explode("bands").alias("band"), F.col("prefix").isNotNull().alias("bare"))
-    # a band that holds an ending that may go on and at least one other text
-    met = banded.groupBy("band").agg(F.max("bare").alias("bare"), F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("bare AND a <> b").select("band")
-    near = banded.select("text_hash", "band").join(met, "band", "left_semi").select("text_hash").distinct()
-    goes_on = signed.join(near, "text_hash", "left_semi").select(F.explode("tails").alias("t")).select(F.col("t.h").alias("prefix"), F.col("t.w").alias("w"), F.col("t.mid").alias("mid"))
-    bare = signed.where("prefix IS NOT NULL").select("prefix", "tail").distinct()
-    return bare.join(goes_on, "prefix").where(
-        # the word goes on in letters or digits (a figure with its stop in digits only), its sentence behind a comma, or more words follow in its line
-        "CASE WHEN tail RLIKE '[0-9][.]$' THEN startswith(w, tail) AND substring(w, length(tail) + 1, 1) RLIKE '[0-9]'"
-        f" WHEN tail RLIKE '[.]$' AND w = tail THEN mid AND tail RLIKE '{_ABBREVIATION.pattern}'".replace("\\", "\\\\") +
-        " ELSE (w = tail OR w RLIKE '([.]{2,}|…)$' AND regexp_replace(w, '([.]{2,}|…)[.…]*$', '') = tail) AND mid"
-        " OR length(w) > length(tail) AND startswith(w, tail) AND substring(w, length(tail) + 1, 1) RLIKE '[\\\\p{L}\\\\p{N},;]' END"
-    ).select("prefix", "tail").distinct()
-
-
 def truncated(texts: DataFrame, context: DataFrame | None = None) -> DataFrame:
     """Verdicts on the rows of ``texts(table_name, row_id, run_id, text)``.
 
@@ -326,9 +260,9 @@ def truncated(texts: DataFrame, context: DataFrame | None = None) -> DataFrame:
     ``closing_word``, ``closing_phrase``, ``ellipsis`` or null.
     """
     spark = texts.sparkSession
-    texts = texts.select("table_name", F.col("row_id").cast("bigint").alias("row_id"), "run_id", "text")
+    texts = texts.select("table_name", F.col("row_id").cast("bigint").alias("row_id"), "run_id", "text", F.xxhash64("text").alias("id"))
     feats = materialize(texts.mapInArrow(_features, FEATURES), "closings")
-    once = feats.where(F.col("state").isin(closing.KEY, closing.ELL)).groupBy("state", "key", "text_hash", F.col("bands").isNotNull().alias("signed")).agg(F.count("*").alias("n"))
+    once = feats.where(F.col("state").isin(closing.KEY, closing.ELL)).groupBy("state", "key", "text_hash", "signed").agg(F.count("*").alias("n"))
     counted = F.least("n", F.lit(COPIES))
     # a closing name (a signature) that differs between texts is no cut: all rows count but further copies of the most frequent text
     names = F.col("key").endswith("<C>") & (F.count("*") >= SIGNERS)
@@ -357,7 +291,8 @@ def truncated(texts: DataFrame, context: DataFrame | None = None) -> DataFrame:
     formulas = [k for k, n in ends.items() if mid.get(k, 0) < KEY_MID * n and _key_word(k) not in parts]
     words = counts.where(F.col("item").startswith("w")).select(F.expr("substring(item, 2)").alias("word"), F.col("n").alias("word_n"), F.col("closing").alias("word_closing"))
     pairs = counts.where(F.col("item").startswith("p")).select(F.expr("substring(item, 2)").alias("pair"), F.col("n").alias("pair_n"), F.col("closing").alias("pair_closing"))
-    copies = _copies(feats).withColumn("copy", F.lit(True))
+    opened = feats.where("keys IS NOT NULL").select("id", "keys", "mark")
+    copies = nearcopy.cut_copies(texts.select("id", "text"), opened).withColumn("copy", F.lit(True))
     closes = F.coalesce(F.col("word_closing") >= WORD_CLOSES * F.col("word_n"), F.lit(False)) | F.coalesce(
         (F.col("pair_closing") >= PAIR_LEAST) & (F.col("pair_closing") >= PAIR_CLOSES * F.col("pair_n")), F.lit(False)
     )
@@ -370,8 +305,11 @@ def truncated(texts: DataFrame, context: DataFrame | None = None) -> DataFrame:
         .when((state == closing.KEY) & ~(F.col("key").isin(formulas) & known), "closing_phrase")
         .when((state == closing.ELL) & ~F.col("key").isin(own), "ellipsis")
     )
-    rows = feats.select("table_name", "row_id", "run_id", "state", "key", "word", "pair", "prefix", "tail")
-    joined = rows.join(words, "word", "left").join(pairs, "pair", "left").join(copies, ["prefix", "tail"], "left")
+    # only a line's last word and a closing name are looked up; the other rows are not shuffled for it
+    asks = (state == closing.WORD) | (state == closing.KEY) & F.col("key").endswith("<C>")
+    rows = feats.select("table_name", "row_id", "run_id", "id", "state", "key", "word", "pair")
+    looked = rows.where(asks).join(words, "word", "left").join(pairs, "pair", "left")
+    joined = looked.unionByName(rows.where(~F.coalesce(asks, F.lit(False))), allowMissingColumns=True).join(copies, "id", "left")
     return joined.select("table_name", "row_id", "run_id", reason.isNotNull().alias("truncated"), reason.alias("reason"))
 
 

@@ -1,8 +1,6 @@
 import pytest
 
 pytest.importorskip("tallyforge.llm")
-import numpy as np
-
 from tallyforge.llm import closing, truncation
 from tallyforge.llm.closing import CUT, DONE, ELL, KEY, WORD, closing_state
 
@@ -50,35 +48,6 @@ def test_empty_table(spark):
     assert truncation.truncated(spark.createDataFrame([], "table_name string, row_id bigint, run_id string, text string")).collect() == []
 
 
-def test_near_copies_against_brute_force(spark):
-    """Every ending that another text carries on from, within the similarity, is found, and no other."""
-    rng = np.random.default_rng(5)
-    words = [f"w{k}" for k in range(400)]
-    rows = []
-    for i in range(120):
-        own = [words[k] for k in rng.integers(0, 400, 60)]
-        for j, n in enumerate((60, 59, 54, 53, 45, 30)):
-            rows.append(("t", i * 10 + j, "r", " ".join(own[:n])[: None if j != 3 else -1]))
-    df = spark.createDataFrame(rows, "table_name string, row_id bigint, run_id string, text string")
-    found = {r["row_id"] for r in truncation.truncated(df).where("reason = 'near_copy'").collect()}
-    want = set()
-    for _, a, _, x in rows:
-        for _, b, _, y in rows[a // 10 * 6 : a // 10 * 6 + 6]:
-            if len(y) > len(x) and y.startswith(x):
-                similarity = (len(x.split()) - 4) / (len(y.split()) - 4)
-                if similarity >= truncation.SIMILARITY:
-                    want.add(a)
-    assert found <= want and len(found) >= 0.97 * len(want)
-
-
-def test_signature_is_of_the_set_of_shingles():
-    h = truncation.WordHashes()
-    a = h.of("a b c d e f g h".split())
-    bands, shingles = truncation.signatures(np.concatenate((a, a, a[:3], a[:0], a[1:])), np.array([0, 8, 16, 19, 19, 26]))
-    assert shingles.tolist() == [4, 4, 0, 0, 3]
-    assert (bands[0] == bands[1]).all() and not bands[2].any() and not bands[3].any() and bands[4].all()
-
-
 def verdicts(spark, texts):
     df = spark.createDataFrame([("t", i, "r", x) for i, x in enumerate(texts)], "table_name string, row_id bigint, run_id string, text string")
     return {r["row_id"]: r["truncated"] for r in truncation.truncated(df.repartition(3)).collect()}
