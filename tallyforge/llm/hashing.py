@@ -14,15 +14,20 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+def letter(word: str) -> int:
+    """Four bits of a word's first character."""
+    return ord(word[0]) * 0x9E3779B1 >> 28 & 15
+
+
 class WordHashes(dict):
-    """Hash of a word, remembered; a dictionary that starts anew when it grows large."""
+    """Hash of a word, remembered; a dictionary that starts anew when it grows large. The upper four bits are those of its first character."""
 
     MOST = 500_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.MOST:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 4 | letter(word) << 60
         return value
 
     def of(self, words: list[str]) -> np.ndarray:

@@ -73,7 +73,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
         states = [closing.closing_state(t) for t in texts]
-        pairs, copies, signed, opened, rows = [], [], [], [], []
+        pairs, copies, signed, opened, tails, rows = [], [], [], [], [], []
         for k, (text, (state, _, word)) in enumerate(zip(texts, states)):
             pairs.append(_closing_pair(text) if state == closing.WORD and word else None)
             words = text.lower().split() if text else []
@@ -86,8 +86,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ended = nearcopy.open_end(words, state)
             if ended:
                 opened.append(ended[0])
+                tails.append(ended[1])
                 rows.append(k)
-        own, marks = nearcopy.last_keys(hashes.of(list(chain.from_iterable(opened))), np.array([len(x) for x in opened], np.int64))
+        own, marks = nearcopy.last_keys(hashes.of(list(chain.from_iterable(opened))), np.array([len(x) for x in opened], np.int64), tails)
         found = dict(zip(rows, zip(own.astype(np.int64).tolist(), marks.astype(np.int64).tolist())))
         asked = [found.get(k, (None, None)) for k in range(len(texts))]
         columns = [
@@ -102,8 +103,8 @@ def _closing_pair(text: str) -> str:
     return " ".join(closing._TOKEN.findall(_NUMBERS.sub("0", text[-160:].lower().rstrip(closing._TRIM)))[-2:]).replace("\n", "\\n")
 
 
-def _key_pattern(key: str) -> tuple[str, re.Pattern]:
-    """A literal that a text with the closing key has in lower case, and the key with more of its sentence behind it."""
+def _key_pattern(key: str) -> tuple[str, re.Pattern, re.Pattern]:
+    """The longest word of a closing key in lower case, if it has one, the key's part before it, and the rest with more of its sentence behind it."""
     parts = key.split(" ")
 
     def one(p: str) -> str:
@@ -111,18 +112,15 @@ def _key_pattern(key: str) -> tuple[str, re.Pattern]:
             return r"\n+"
         if p == "0":
             return r"\d+(?:[.,]\d+)*(?!\d)"
-        return r"[A-Z][^\W\d_A-Z]+" if p == "<C>" else f"(?i:{re.escape(p)})"
-
-    literal = ""
-    for p in parts[:2]:
-        if p in ("0", "<C>"):
-            break
-        p = "\n" if p == "\\n" else p
-        literal += (" " if literal and literal[-1].isalnum() and p[0].isalnum() else "") + p
+        return r"[A-Z][^\W\d_A-Z]+" if p == "<C>" else f"(?i:{re.escape(p)})" if p[0].isalpha() else re.escape(p)
+
+    at = max(range(len(parts)), key=lambda k: (parts[k][0].isalpha() and len(parts[k]), -k))
+    literal = parts[at] if parts[at][0].isalpha() else ""
     head = r"(?<![^\W_])" if parts[0][0].isalnum() else ""
     # a last word may be the beginning of a longer one, which goes on as well
     tail = r"(?:(?=[^\W\d_])|(?![^\W_])(?=[ \t]*[^\s.?!]))" if parts[-1][0].isalpha() else r"(?![^\W_])(?=[ \t]*[^\s.?!])"
-    return literal, re.compile(head + r"[ \t]*".join(map(one, parts)) + tail)
+    before = re.compile(head + "".join(one(p) + r"[ \t]*" for p in parts[:at]) + r"\Z")
+    return literal, before, re.compile((head if not at else "") + r"[ \t]*".join(map(one, parts[at:])) + tail)
 
 
 def _key_word(key: str) -> str | None:
@@ -162,19 +160,20 @@ def _tokens(lower: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return flat, ends - sizes, ends - 1
 
 
-def _following(texts: list[str], patterns: list[tuple[str, str, re.Pattern]]) -> Counter[str]:
+def _following(texts: list[str], patterns: list[tuple[str, str, re.Pattern, re.Pattern]]) -> Counter[str]:
     """How often each closing key has more of its sentence behind it: looked up where its literal stands."""
     found: Counter[str] = Counter()
     whole = "\v".join(texts)  # white space that no key holds
     low = whole.lower()
-    aligned = len(low) == len(whole)
-    for key, literal, pattern in patterns:
-        if not literal or not aligned:
-            found[key] += sum(len(pattern.findall(t)) for t in texts if literal in t.lower())
+    if len(low) != len(whole):
+        low = "".join(x.lower() if len(x.lower()) == 1 else x for x in whole)
+    for key, literal, before, rest in patterns:
+        if not literal:
+            found[key] += len(rest.findall(whole))
             continue
         at = low.find(literal)
         while at >= 0:
-            found[key] += pattern.match(whole, at) is not None
+            found[key] += rest.match(whole, at) is not None and before.search(whole, max(0, at - 60), at) is not None
             at = low.find(literal, at + len(literal))
     return +found
 

@@ -63,9 +63,14 @@ def test_copies_make_no_formula_of_their_ending(spark):
     assert [i for i, cut in verdicts(spark, texts).items() if cut] and {i for i, cut in verdicts(spark, texts).items() if cut} == set(range(40, len(texts)))
 
 
-def test_fragments_go_on_in_their_word():
-    _, pattern = truncation._key_pattern("start , th")
-    assert pattern.search("at the start, that is 9.") and pattern.search("start, th and") and not pattern.search("start, th.")
+def test_closing_keys_within_texts():
+    def n(key, *texts):
+        return truncation._following(list(texts), [(key, *truncation._key_pattern(key))])[key]
+
+    assert n("start , th", "at the start, that is 9.", "start, th and") == 2 and not n("start , th", "start, th.")
+    assert n("0 , so", "It is 12, so we go. It is 1,200 , so. Also, so it is.") == 1 and n("0 away from", "Take 5 away from 7. x5 away from 8.") == 1
+    assert n("#### $ 0", "#### $12 is it.\n#### $ 7\n", "#### $3") == 1 and n("0 . <C>", "So 5. Then we", "It is 5. İt is 6.", "5. Then") == 1
+    assert n(". \\n <C>", "So.\nThen we go.\n\nAnd", "So. \nThen,") == 2
 
 
 def test_a_settled_key_costs_no_other_key_its_count():
