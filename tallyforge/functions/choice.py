@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Explicit forms of an answer, A-D, of which the first counts.
-_FIRST = [r"(?:the\s+)?answer\s+is\s*[:\-]?\s*\(?([A-D])\)?", r"\b([A-D])\)\s", r"^([A-D])$"]
-FIRST_EXPLICIT = "(?imd)(?:" + "|".join(_FIRST) + ")"
+FIRST_EXPLICIT = r"(?imd)(?:(?:the\s+)?answer\s+is\s*[:\-]?\s*\(?([A-D])\)?|\b([A-D])\)\s|^([A-D])$)"
 FIRST_STANDALONE = r"(?i)\b([A-D])\b"
 #: Explicit forms, A-E, of which the last counts.
 LAST_EXPLICIT = r"(?i)(?:answer|option|choice)\s*(?:is)?\s*[:(]?\s*([A-E])"
@@ -25,8 +24,9 @@ def _last(text: Column, pattern: str) -> Column:
 def first_choice(text: Column, strict: bool = False) -> Column:
     """The first explicit letter, else the last standalone one, upper case; null if there is none."""
     pattern, alone = (FIRST_EXPLICIT_STRICT, STANDALONE_STRICT) if strict else (FIRST_EXPLICIT, FIRST_STANDALONE)
-    groups = [F.nullif(F.regexp_extract(text, pattern, k), F.lit("")) for k in (1, 2, 3)]  # all of the first match
-    return F.coalesce(F.upper(F.coalesce(*groups)), _last(text, alone))
+    # the whole first match is looked up once; its letter is the last one that stands alone in it
+    first = F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))
+    return F.coalesce(F.upper(F.regexp_extract(first, r"([A-Ea-e])\)?\s*$", 1)), _last(text, alone))
 
 
 def last_choice(text: Column, strict: bool = False) -> Column:

@@ -16,10 +16,13 @@ def repetitions(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> Dat
 def against(df: DataFrame, role: str, baseline: str, on: Sequence[str], metric: str) -> DataFrame:
     """Each row's ``ratio`` and ``difference`` to the baseline role's row of the same keys; null where there is none.
 
-    ``df`` has one row for each role and keys. Without keys the baseline is one value.
+    ``df`` has one row for each role and keys. Without keys the baseline is one value; several are an error.
     """
     base = df.where(F.col(role) == baseline).select(*on, F.col(metric).alias("_base"))
-    joined = df.join(base, list(on), "left") if on else df.join(F.broadcast(base.limit(1)), how="left")
+    if not on:
+        # one row always: null without a baseline, an error where there are several
+        base = base.agg(F.when(F.count("*") > 1, F.raise_error(F.lit(f"several rows of {baseline!r}: name the keys"))).otherwise(F.first("_base")).alias("_base"))
+    joined = df.join(base, list(on), "left") if on else df.join(F.broadcast(base), how="left")
     return joined.withColumn("ratio", F.try_divide(F.col(metric), F.col("_base"))).withColumn("difference", F.col(metric) - F.col("_base")).drop("_base")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import choice, latex, numbers
+from tallyforge.functions.text import strip
 from tallyforge.operators import prompts
 
 
@@ -18,7 +21,7 @@ def boxed_examples(raw: DataFrame) -> DataFrame:
     """The last box of the solution as reference, else the whole solution, and which it was."""
     boxed = latex.boxed_answer(F.col("solution"))
     rows = raw.select("problem", "level", "type", F.col("solution").alias("full_solution"), boxed.alias("_boxed"))
-    return rows.select("problem", "level", "type", "full_solution", F.coalesce("_boxed", F.trim("full_solution")).alias("reference_answer"), F.col("_boxed").isNotNull().alias("reference_is_boxed"))
+    return rows.select("problem", "level", "type", "full_solution", F.coalesce(F.nullif("_boxed", F.lit("")), strip(F.col("full_solution"))).alias("reference_answer"), F.col("_boxed").isNotNull().alias("reference_is_boxed"))
 
 
 def choice_examples(raw: DataFrame) -> DataFrame:
@@ -31,8 +34,8 @@ def choice_examples(raw: DataFrame) -> DataFrame:
 def mixed_examples(raw: DataFrame) -> DataFrame:
     """Prompt, reference, its type and source from whichever of the known columns the table has; empty prompts dropped."""
     rows = raw.select(
-        F.trim(prompts.first_present(raw, prompts.PROMPT_FIELDS, "").cast("string")).alias("prompt"),
-        F.trim(F.coalesce(prompts.first_present(raw, prompts.ANSWER_FIELDS, "").cast("string"), F.lit(""))).alias("_answer"),
+        prompts.first_present(raw, prompts.PROMPT_FIELDS, "").cast("string").alias("prompt"),
+        strip(F.coalesce(prompts.first_present(raw, prompts.ANSWER_FIELDS, "").cast("string"), F.lit(""))).alias("_answer"),
         prompts.first_present(raw, prompts.SOURCE_FIELDS, "unknown").cast("string").alias("source_dataset"),
     )
     kind = choice.answer_type(F.col("_answer"))
@@ -42,3 +45,14 @@ def mixed_examples(raw: DataFrame) -> DataFrame:
 def head(df: DataFrame, order: str, n: int | None) -> DataFrame:
     """The first n rows by an order; all for none, 0 or less."""
     return df.orderBy(order).limit(n) if n and n > 0 else df
+
+
+def with_responses(examples: DataFrame, responses: DataFrame, on: Sequence[str] = ("benchmark", "index")) -> DataFrame:
+    """Every example with its recorded response (``text, latency_ms, error``): the rows a scorer takes.
+
+    An example without a response keeps nulls and the error ``no response``, so it is unscorable rather than lost. Null keys match
+    nothing. Several responses to one example, of several models say, give a row each.
+    """
+    recorded = responses.select(*on, *[c for c in responses.columns if c not in on and c not in examples.columns and c != "error"], F.col("error").alias("_error"), F.lit(True).alias("_there"))
+    error = F.when(F.col("_there"), F.col("_error")).otherwise("no response")
+    return examples.join(recorded, list(on), "left").withColumn("error", error).drop("_error", "_there")

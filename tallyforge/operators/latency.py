@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 PERCENTILES = (0.5, 0.95, 0.99)
 
 
-def _stats(value: Column, keep: Column, prefix: str) -> list[Column]:
+def _stats(value: Column, keep: Column, prefix: str, accuracy: int | None = None) -> list[Column]:
     kept = F.when(keep & ~F.isnan(value), value)
-    at = F.percentile(kept, F.array(*[F.lit(p) for p in PERCENTILES]))
+    at = percentiles(kept, accuracy)
     return [
         F.count(kept).alias(f"{prefix}_count"),
         F.avg(kept).alias(f"{prefix}_mean"),
@@ -22,8 +22,16 @@ def _stats(value: Column, keep: Column, prefix: str) -> list[Column]:
     ]
 
 
-def summarize(df: DataFrame, by: Sequence[str], latency: str, ok: Column) -> DataFrame:
-    """Counts and exact linear-interpolation percentiles of the successful requests of each group.
+def percentiles(value: Column, accuracy: int | None = None) -> Column:
+    """``PERCENTILES`` as an array: exact, with linear interpolation; or, given an accuracy, values whose rank is off by at most
+    ``1 / accuracy`` of the rows. Exact ones keep every different value of a group in memory; a group of billions wants the other."""
+    if accuracy is None:
+        return F.percentile(value, F.array(*[F.lit(p) for p in PERCENTILES]))
+    return F.percentile_approx(value, list(PERCENTILES), accuracy)
+
+
+def summarize(df: DataFrame, by: Sequence[str], latency: str, ok: Column, accuracy: int | None = None) -> DataFrame:
+    """Counts and percentiles (see ``percentiles``) of the successful requests of each group.
 
     Failed requests count in ``total`` and ``failed`` only. Null and NaN latencies count in neither the
     statistics nor their ``count``. A group without a successful request has null statistics.
@@ -33,11 +41,11 @@ def summarize(df: DataFrame, by: Sequence[str], latency: str, ok: Column) -> Dat
         F.count("*").alias("total_requests"),
         F.count_if(succeeded).alias("successful_requests"),
         F.count_if(~succeeded).alias("failed_requests"),
-        *_stats(F.col(latency), succeeded, "latency"),
+        *_stats(F.col(latency), succeeded, "latency", accuracy),
     )
 
 
-def rate_sweep(df: DataFrame, by: Sequence[str], strict: bool = False) -> DataFrame:
+def rate_sweep(df: DataFrame, by: Sequence[str], strict: bool = False, accuracy: int | None = None) -> DataFrame:
     """Summary of every load level: both latencies, tokens and throughput, as one aggregate.
 
     ``effective_throughput_tps`` is tokens of the successful requests over the slowest single request (of
@@ -58,8 +66,8 @@ def rate_sweep(df: DataFrame, by: Sequence[str], strict: bool = False) -> DataFr
         tokens.alias("total_output_tokens"),
         F.coalesce(F.try_divide(tokens.cast("double"), F.max(latency) / 1000), F.lit(0.0)).alias("effective_throughput_tps"),
         F.coalesce(F.try_divide(tokens.cast("double"), wall), F.lit(0.0)).alias("wall_throughput_tps"),
-        *_stats(F.col("latency_ms"), ok, "latency"),
-        *_stats(F.col("ttfb_ms"), ok & F.col("ttfb_ms").isNotNull(), "ttfb"),
+        *_stats(F.col("latency_ms"), ok, "latency", accuracy),
+        *_stats(F.col("ttfb_ms"), ok & F.col("ttfb_ms").isNotNull(), "ttfb", accuracy),
     )
 
 

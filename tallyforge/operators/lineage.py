@@ -6,7 +6,10 @@ import datetime
 import hashlib
 import json
 import os
+import platform
 import socket
+import subprocess
+from importlib import metadata
 from pathlib import Path
 from typing import Any
 
@@ -57,11 +60,28 @@ def snapshot(config: dict[str, Any], folder: Path) -> Path:
     return path
 
 
+def _said(*command: str) -> list[str]:
+    """Lines that a command prints; none if it is not there or fails."""
+    try:
+        return subprocess.run(command, capture_output=True, text=True, timeout=30, check=True).stdout.strip().splitlines()
+    except (OSError, subprocess.SubprocessError):
+        return []
+
+
+def gpus() -> list[dict[str, Any]]:
+    """Index, name and memory of the driver's graphics processors, as their driver's tool lists them."""
+    rows = [[x.strip() for x in line.split(",")] for line in _said("nvidia-smi", "--query-gpu=index,name,memory.total", "--format=csv,noheader,nounits")]
+    return [{"index": int(r[0]), "name": r[1], "total_memory_mb": int(float(r[2]))} for r in rows if len(r) == 3]
+
+
 def capture(spark: SparkSession, config: dict[str, Any], seed: int | None = None) -> DataFrame:
-    """One row of metadata about this run; what the machine does not tell is null."""
+    """One row of metadata about this run, as its driver has it; what the machine does not tell is null."""
+    held = gpus()
     row = {
-        "timestamp_utc": datetime.datetime.now(datetime.UTC).isoformat(), "hostname": socket.gethostname(), "seed": seed, "git_commit": None,
-        "config_hash": config_hash(config), "slurm_job_id": os.environ.get("SLURM_JOB_ID"), "gpu_count": 0, "gpus": [], "pip_freeze": None,
+        "timestamp_utc": datetime.datetime.now(datetime.UTC).isoformat(), "hostname": socket.gethostname(), "seed": seed, "git_commit": next(iter(_said("git", "rev-parse", "--short", "HEAD")), None),
+        "config_hash": config_hash(config), "slurm_job_id": os.environ.get("SLURM_JOB_ID"), "gpu_count": len(held), "gpus": held,
+        "pip_freeze": sorted(f"{d.metadata['Name']}=={d.version}" for d in metadata.distributions() if d.metadata["Name"]),
+        "python_version": platform.python_version(), "platform": platform.platform(), "spark_version": spark.version,
     }
     return spark.createDataFrame([row], schemas.RUN_META)
 

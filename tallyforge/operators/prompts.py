@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.session import materialize
+
 #: Names under which sources keep prompt, answer and source, in order of preference.
 PROMPT_FIELDS = ("query", "prompt", "question", "input")
 ANSWER_FIELDS = ("correct_answer", "answer", "label", "expected_answer", "gold")
@@ -62,12 +64,13 @@ def number_ids(df: DataFrame, prefix: str, order: str, partition: str | None = N
     """``prefix-i`` with i the row's rank by ``order``: the same whatever the partitioning.
 
     Ranks over a whole table are taken in two steps, within ranges of the order and from the ranges' counts, so no
-    task sees all rows; within ``partition`` a window does.
+    task sees all rows; within ``partition`` a window does. The ranges are written once with their numbers, so both steps
+    see the same ones. Nulls come first; rows of equal ``order`` are numbered in any order.
     """
     if partition is not None:
         w = Window.partitionBy(partition).orderBy(order)
         return df.withColumn("id", F.concat(F.lit(prefix + "-"), F.col(partition).cast("string"), F.lit("-"), (F.row_number().over(w) - 1).cast("string")))
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    ranged = materialize(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a partition
     w = Window.partitionBy("_part").orderBy(order)

@@ -11,12 +11,23 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.latency import percentiles
 from tallyforge.registry import Registry
 
 THRESHOLD, TIMEOUT_MS = 0.70, 10_000.0
 POLICIES: Registry[Callable[..., DataFrame]] = Registry("policy")
 
 
+def paired(teacher: DataFrame, student: DataFrame, on: Sequence[str], columns: Sequence[str] = ("latency_ms", "error")) -> DataFrame:
+    """Every request of ``teacher`` with the student's response to it, as ``teacher_*`` and ``student_*``.
+
+    A request the student has no response to keeps nulls and the error ``no response``, so every policy escalates it.
+    """
+    ours = student.select(*on, *[F.col(c).alias(f"student_{c}") for c in columns if c != "error"], F.col("error").alias("_error"), F.lit(True).alias("_there"))
+    theirs = teacher.select(*on, *[F.col(c).alias(f"teacher_{c}") for c in columns if c in teacher.columns])
+    return theirs.join(ours, list(on), "left").withColumn("student_error", F.when(F.col("_there"), F.col("_error")).otherwise("no response")).drop("_error", "_there")
+
+
 def _routed(df: DataFrame, to_student: Column, escalated: Column, confidence: Column, reason: tuple[str, str]) -> DataFrame:
     keep = F.coalesce(to_student, F.lit(False))
     return df.select(
@@ -52,9 +63,9 @@ def route(df: DataFrame, policy: str, **options: object) -> DataFrame:
     return POLICIES[policy](df, **options)
 
 
-def shares(routed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """How many requests each model got, and the latency of the whole."""
-    at = F.percentile("routed_latency_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+def shares(routed: DataFrame, by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
+    """How many requests each model got, and the latency of the whole (percentiles as in ``latency.percentiles``)."""
+    at = percentiles(F.col("routed_latency_ms"), accuracy)
     return routed.groupBy(*by).agg(
         F.count("*").alias("total"),
         F.count_if(F.col("selected_model") == "teacher").alias("teacher"),

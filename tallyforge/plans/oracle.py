@@ -1,11 +1,17 @@
-"""The same queries as SQL for DuckDB, over the same whole tables."""
+"""The same queries as SQL for DuckDB, over the same whole tables.
+
+Nothing here comes from the library: patterns, tables and rules are written out again, from what the records are to mean.
+"""
 
 from __future__ import annotations
 
-from tallyforge.functions.confidence import HEDGES
-from tallyforge.functions.latex import REWRITES
-from tallyforge.functions.numbers import FINAL_NUMBER, FINAL_NUMBER_LENIENT
-from tallyforge.sources.readers import STDOUT_KEYS, STDOUT_MORE
+#: Fixed values, stated anew: markers of a final number, hedging words, and the rewrites of LaTeX in order.
+FINAL_NUMBER = r"####\s*([\-\d,\.]+)"
+FINAL_NUMBER_LENIENT = r"####\s*\$?(?:\\boxed\{)?\s*\$?(-?\d[\d,\.]*)"
+HEDGES = ["maybe", "perhaps", "possibly", "uncertain", "unsure", "might", "could"]
+UNWRAPPED = ["text", "mathrm", "textbf", "mathbf", "displaystyle"]
+#: White space of any kind.
+_SPACE = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
 
 
 def _quoted(text: str) -> str:
@@ -16,8 +22,12 @@ TEACHER = "(SELECT * REPLACE (lower(trim(benchmark)) AS benchmark) FROM teacher_
 _BOX = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)\}"
 
 
+def _strip(text: str) -> str:
+    return f"regexp_replace({text}, {_quoted(f'^{_SPACE}+|{_SPACE}+$')}, '', 'g')"
+
+
 def _last(text: str, pattern: str) -> str:
-    return f"trim(regexp_extract_all({text}, {_quoted(pattern)}, 1)[-1])"
+    return _strip(f"regexp_extract_all({text}, {_quoted(pattern)}, 1)[-1]")
 
 
 def _stats(value: str, keep: str, prefix: str) -> str:
@@ -39,8 +49,8 @@ FROM request_measurement GROUP BY ALL"""
 
 
 def _parsed(text: str) -> str:
-    bare = f"replace(replace({text}, ',', ''), ' ', '')"
-    body = f"regexp_replace({bare}, '%$', '')"
+    bare = _strip(f"replace(replace({text}, ',', ''), ' ', '')")
+    body = _strip(f"regexp_replace({bare}, '%$', '')")
     number = rf"CASE WHEN regexp_full_match({body}, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') THEN TRY_CAST({body} AS DOUBLE) END"
     return f"({number} / CASE WHEN {bare} LIKE '%\\%' ESCAPE '\\' THEN 100 ELSE 1 END)"
 
@@ -50,10 +60,25 @@ def _close(a: str, b: str) -> str:
 
 
 def _normal_form(text: str) -> str:
-    out = f"trim({text})"
-    for pattern, replacement, regular in REWRITES:
-        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(replacement.replace('$', chr(92)))}, 'g')" if regular else f"replace({out}, {_quoted(pattern)}, {_quoted(replacement)})"
-    return f"trim({out})"
+    def swap(x: str, old: str, new: str) -> str:
+        return f"replace({x}, {_quoted(old)}, {_quoted(new)})"
+
+    def change(x: str, pattern: str, new: str) -> str:
+        return f"regexp_replace({x}, {_quoted(pattern)}, {_quoted(new)}, 'g')"
+
+    out = _strip(text)
+    for name in UNWRAPPED:
+        out = change(out, rf"\\{name}\{{([^}}]*)\}}", r"\1")
+    for old in ("$", r"\left", r"\right"):
+        out = swap(out, old, "")
+    out = change(out, r"\\frac\{([^}]*)\}\{([^}]*)\}", r"(\1)/(\2)")
+    out = change(out, r"\\sqrt\{([^}]*)\}", r"sqrt(\1)")
+    out = change(out, r"\\sqrt\[([^\]]*)\]\{([^}]*)\}", r"(\2)**(1/(\1))")
+    out = change(change(out, r"\^\{([^}]*)\}", r"**(\1)"), r"\^(\w)", r"**\1")
+    for old, new in ((r"\pi", "pi"), (r"\infty", "oo"), (r"\cdot", "*"), (r"\times", "*")):
+        out = swap(out, old, new)
+    out = change(change(out, r"\\[a-zA-Z]+", ""), r"\\[,;!: ]", "")
+    return _strip(change(out, r"[\s\p{Z}]+", " "))
 
 
 def _accuracy(source: str, by: str = "") -> str:
@@ -80,11 +105,11 @@ def _wording(text: str) -> str:
       - CASE WHEN {n} < 3 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END)) END"""
 
 
-_PAIRS = f"""(SELECT s.row_id, s.latency_ms AS s_ms, s.error AS s_error, {_wording('s.model_response')} AS conf, CASE WHEN NOT isnan(t.latency_ms) THEN t.latency_ms END AS t_ms
-  FROM gsm8k_unscorable s JOIN teacher_outputs t USING (row_id))"""
+_PAIRS = f"""(SELECT t.row_id, s.latency_ms AS s_ms, CASE WHEN s.row_id IS NULL THEN 'no response' ELSE s.error END AS s_error, CASE WHEN s.row_id IS NOT NULL THEN {_wording('s.model_response')} END AS conf,
+  CASE WHEN NOT isnan(t.latency_ms) THEN t.latency_ms END AS t_ms FROM teacher_outputs t LEFT JOIN gsm8k_unscorable s USING (row_id))"""
 _PER_RUN = """(SELECT r.run_id, r.request_rate, m.model_role, r.latency, r.tokens FROM (SELECT run_id, request_rate, avg(latency_ms) AS latency, sum(output_tokens)::BIGINT AS tokens FROM request_measurement
   WHERE error IS NULL GROUP BY ALL) r JOIN run_meta m USING (run_id))"""
-_PLAIN = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+_PLAIN = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
 def _grams(table: str, key: str, text: str, n: int) -> str:
@@ -99,17 +124,24 @@ def _alone(letters: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    boxed = f"trim(regexp_extract_all(teacher_completion, {_quoted(_BOX)}, 1)[-1])"
+    boxed = _strip(f"regexp_extract_all(teacher_completion, {_quoted(_BOX)}, 1)[-1]")
     first = "upper(coalesce(" + ", ".join(f"nullif(regexp_extract(teacher_completion, {_quoted(_FIRST)}, {k}), '')" for k in (1, 2, 3)) + "))"
-    stdout = "'Successful requests:      ' || p_size || chr(10) || 'Benchmark duration (s):   ' || p_retailprice || chr(10) || 'Mean TTFT (ms):   ' || p_size || '.50' || chr(10) || 'Failed requests:  0' || chr(10)"
-    keys = STDOUT_KEYS | STDOUT_MORE
-    read = {k: f"TRY_CAST(nullif(regexp_extract(value, {_quoted(keys[k])}, 1), '') AS {'BIGINT' if keys[k].endswith('(' + chr(92) + 'd+)') else 'DOUBLE'}) AS {k}" for k in ("completed_requests", "total_time_s", "mean_ttft_ms", "failed_requests", "p99_itl_ms")}
+    printed = {
+        "completed_requests": ("Successful requests:", "BIGINT"), "total_time_s": ("Benchmark duration (s):", "DOUBLE"), "request_throughput_rps": ("Request throughput (req/s):", "DOUBLE"),
+        "input_throughput_tps": ("Input token throughput (tok/s):", "DOUBLE"), "output_throughput_tps": ("Output token throughput (tok/s):", "DOUBLE"),
+        "mean_ttft_ms": ("Mean TTFT (ms):", "DOUBLE"), "p99_ttft_ms": ("P99 TTFT (ms):", "DOUBLE"), "mean_tpot_ms": ("Mean TPOT (ms):", "DOUBLE"), "p99_tpot_ms": ("P99 TPOT (ms):", "DOUBLE"),
+        "mean_itl_ms": ("Mean ITL (ms):", "DOUBLE"), "p99_itl_ms": ("P99 ITL (ms):", "DOUBLE"), "failed_requests": ("Failed requests:", "BIGINT"), "total_input_tokens": ("Total input tokens:", "BIGINT"),
+        "total_generated_tokens": ("Total generated tokens:", "BIGINT"), "peak_output_throughput_tps": ("Peak output token throughput (tok/s):", "DOUBLE"), "peak_concurrent_requests": ("Peak concurrent requests:", "DOUBLE"),
+        "total_throughput_tps": ("Total Token throughput (tok/s):", "DOUBLE"), "median_ttft_ms": ("Median TTFT (ms):", "DOUBLE"), "median_tpot_ms": ("Median TPOT (ms):", "DOUBLE"), "median_itl_ms": ("Median ITL (ms):", "DOUBLE"),
+    }
+    # the n-th line of the built text holds n + the part's size, whole or with a half
+    read = {k: f"(p_size + {n}){'' if kind == 'BIGINT' else ' + 0.5::DOUBLE'} AS {k}" for n, (k, (_, kind)) in enumerate(printed.items())}
     logits = ["list_transform(embedding[1:4], lambda x: x::DOUBLE)", "list_transform(embedding[5:8], lambda x: x::DOUBLE)"]
     probs = [f"list_transform({x}, lambda y: exp(y) / list_sum(list_transform({x}, lambda z: exp(z))))" for x in logits]
     entropies = [f"(1 - (-list_sum(list_transform({p}, lambda q: q * ln(q + 1e-12)))) / (ln(4) + 1e-12))" for p in probs]
     scored_run = f"(SELECT run_id, p IS NOT NULL AS scorable, p IS NOT NULL AND {_close(_parsed('p'), _parsed('reference_answer'))} AS correct FROM (SELECT run_id, reference_answer, CASE WHEN error IS NULL THEN {_last('model_response', FINAL_NUMBER_LENIENT)} END AS p FROM gsm8k_unscorable))"
     run_part = [f"nullif(regexp_extract('/results/' || run_id || '/run_meta.json', '/([a-z_]+(?:-gen)?)-(?:([a-z_]+)-)?(\\d{{8}}T\\d{{6}}Z)/', {k}), '')" for k in (1, 2, 3)]
-    loss = {k: f"TRY_CAST(regexp_extract(v, '''{k}'': ([-0-9.e+]+)', 1) AS DOUBLE) AS {k}" for k in ("loss", "grad_norm", "learning_rate", "epoch")}
+    loss = {k: f"TRY_CAST(regexp_extract(v, '''{k}'': ([-0-9.e+]+)', 1) AS DOUBLE) AS {k}" for k in ("loss", "grad_norm", "learning_rate", "epoch", "train_runtime", "train_samples_per_second", "train_steps_per_second", "train_loss")}
     return {
         "latency_summary": f"SELECT user_id % 5 AS request_rate, count(*) AS total_requests, count(*) FILTER (WHERE event_type <> 'error') AS successful_requests, count(*) FILTER (WHERE event_type = 'error') AS failed_requests, {_stats('value', chr(39).join(['event_type <> ', 'error', '']), 'latency')} FROM events GROUP BY ALL",
         "rate_sweep": _sweep("run_id, request_rate", "error IS NULL"),
@@ -118,7 +150,7 @@ def oracle_sql() -> dict[str, str]:
         "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS total_requests, count(*) FILTER (WHERE event_type = 'error') AS failed_requests, round(min(value) FILTER (WHERE event_type <> 'error'), 6) AS latency_min, round(max(value) FILTER (WHERE event_type <> 'error'), 6) AS latency_max, round(avg(value) FILTER (WHERE event_type <> 'error'), 6) AS latency_mean FROM events GROUP BY 1",
         "event_sessions": "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n_events FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
         "numeric_last_match": f"SELECT row_id, {_last('teacher_completion', FINAL_NUMBER)} AS answer FROM teacher_outputs",
-        "numeric_reference": f"SELECT question, trim(CASE WHEN regexp_matches(solution, {_quoted(FINAL_NUMBER)}) THEN regexp_extract(solution, {_quoted(FINAL_NUMBER)}, 1) ELSE solution END) AS reference_answer FROM eval_items",
+        "numeric_reference": f"SELECT question, {_strip(f'CASE WHEN regexp_matches(solution, {_quoted(FINAL_NUMBER)}) THEN regexp_extract(solution, {_quoted(FINAL_NUMBER)}, 1) ELSE solution END')} AS reference_answer FROM eval_items",
         "numeric_parse": f"SELECT row_id, round({_parsed(_last('model_response', FINAL_NUMBER_LENIENT))}, 6) AS value, round({_parsed('reference_answer')}, 6) AS reference FROM gsm8k_unscorable",
         "numeric_match": f"SELECT l_linenumber, count(*) FILTER (WHERE {_close('(l_extendedprice * (1 + l_linenumber * 4e-5))', 'l_extendedprice')}) AS matched, count(*) AS total FROM lineitem GROUP BY 1",
         "boxed_answer": f"SELECT row_id, {boxed} AS answer FROM teacher_outputs",
@@ -128,11 +160,11 @@ def oracle_sql() -> dict[str, str]:
         "choice_last": "SELECT row_id, coalesce(upper(regexp_extract_all(teacher_completion, '(?i)(?:answer|option|choice)\\s*(?:is)?\\s*[:(]?\\s*([A-E])', 1)[-1]), " + _alone("A-Ea-e") + ") AS letter FROM teacher_outputs",
         "score_first_choice": f"SELECT benchmark, count(*) AS total, count(letter) AS scorable, count(*) FILTER (WHERE letter = 'B') AS correct FROM (SELECT benchmark, CASE WHEN error IS NULL THEN coalesce({first}, {_alone('A-Da-d')}) END AS letter FROM {TEACHER}) GROUP BY 1",
         "answer_types": "SELECT count(*) FILTER (WHERE regexp_full_match(answer, '[A-Ea-e]')) AS multiple_choice, count(*) FILTER (WHERE NOT regexp_full_match(answer, '[A-Ea-e]')) AS free_text FROM eval_items",
-        "score_mixed": "SELECT CASE WHEN regexp_full_match(trim(answer), '[A-Ea-e]') THEN 'multiple_choice' ELSE 'free_text' END AS answer_type, 'unknown' AS source_dataset, count(*) AS total, count(*) AS scorable, count(*) FILTER (WHERE NOT regexp_full_match(trim(answer), '[A-Ea-e]') OR upper(trim(answer)) = 'B') AS correct FROM eval_items WHERE trim(prompt) <> '' GROUP BY 1",
+        "score_mixed": f"SELECT CASE WHEN regexp_full_match({_strip('answer')}, '[A-Ea-e]') THEN 'multiple_choice' ELSE 'free_text' END AS answer_type, 'unknown' AS source_dataset, count(*) AS total, count(*) AS scorable, count(*) FILTER (WHERE NOT regexp_full_match({_strip('answer')}, '[A-Ea-e]') OR upper({_strip('answer')}) = 'B') AS correct FROM eval_items WHERE prompt <> '' GROUP BY 1",
         "score_boxed": f"SELECT benchmark, count(*) AS total, count(*) FILTER (WHERE error IS NULL AND b IS NOT NULL) AS scorable, count(*) FILTER (WHERE error IS NULL AND coalesce(CASE WHEN n IS NULL THEN f = '15' ELSE abs(n - 15) <= 1e-4 * greatest(abs(n), 15) END, false)) AS correct, count(*) FILTER (WHERE error IS NULL AND b IS NULL) AS unboxed FROM (SELECT *, {_parsed('f')} AS n FROM (SELECT *, {_normal_form('b')} AS f FROM (SELECT benchmark, error, {boxed} AS b FROM {TEACHER}))) GROUP BY 1",
         "accuracy_by_run": _accuracy(scored_run, "run_id"),
         "accuracy_overall": _accuracy("gsm8k_unscorable"),
-        "accuracy_by_category": f"SELECT CASE WHEN trim(coalesce(benchmark, '')) = '' THEN 'arc-challenge' ELSE benchmark END AS category, count(*) FILTER (WHERE finish_reason = 'stop') AS correct, count(*) AS total, round(100 * count(*) FILTER (WHERE finish_reason = 'stop') / count(*), 2) AS accuracy_pct FROM {TEACHER} GROUP BY 1",
+        "accuracy_by_category": f"SELECT coalesce(nullif(benchmark, ''), 'arc-challenge') AS category, count(*) FILTER (WHERE finish_reason = 'stop') AS correct, count(*) AS total, round(100 * count(*) FILTER (WHERE finish_reason = 'stop') / count(*), 2) AS accuracy_pct FROM {TEACHER} GROUP BY 1",
         "accuracy_by_source": "SELECT run_id, count(*) FILTER (WHERE teacher_completion IS NOT NULL AND finish_reason = 'stop') AS correct, count(teacher_completion) AS scorable, count(*) AS total, round(coalesce(100 * count(*) FILTER (WHERE teacher_completion IS NOT NULL AND finish_reason = 'stop') / nullif(count(teacher_completion), 0), 0), 2) AS accuracy_pct FROM teacher_outputs GROUP BY 1",
         "runs_rollup": "SELECT kind, model_role, count(*) AS n_runs, sum(gpu_count)::BIGINT AS gpus FROM run_meta GROUP BY ROLLUP (kind, model_role)",
         "prompt_template": "SELECT item_id, 'Solve. Use \\boxed{{}}.' || chr(10) || chr(10) || 'Problem: ' || question || chr(10) AS prompt FROM eval_items",
@@ -140,7 +172,7 @@ def oracle_sql() -> dict[str, str]:
         "prompt_preview": "SELECT row_id, substring(teacher_completion, 1, 120) AS preview FROM teacher_outputs",
         "options_block": "SELECT p_partkey, array_to_string(list_transform(range(1, least(3, len(w)) + 1), lambda i: ['A', 'B', 'C'][i] || ') ' || w[i]), chr(10)) AS options FROM (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part)",
         "prompt_union": f"SELECT 'item-' || (row_number() OVER (ORDER BY item_id) - 1) AS id, benchmark, prompt FROM eval_items UNION ALL SELECT 'extra-' || (row_number() OVER (ORDER BY row_id) - 1), benchmark, prompt FROM {TEACHER} WHERE benchmark = 'extra'",
-        "mixed_examples": "SELECT trim(prompt) AS prompt, CASE WHEN regexp_full_match(trim(answer), '[A-Ea-e]') THEN upper(trim(answer)) ELSE trim(answer) END AS reference_answer, CASE WHEN regexp_full_match(trim(answer), '[A-Ea-e]') THEN 'multiple_choice' ELSE 'free_text' END AS answer_type, benchmark AS source_dataset FROM eval_items WHERE trim(prompt) <> ''",
+        "mixed_examples": f"SELECT prompt, CASE WHEN regexp_full_match({_strip('answer')}, '[A-Ea-e]') THEN upper({_strip('answer')}) ELSE {_strip('answer')} END AS reference_answer, CASE WHEN regexp_full_match({_strip('answer')}, '[A-Ea-e]') THEN 'multiple_choice' ELSE 'free_text' END AS answer_type, benchmark AS source_dataset FROM eval_items WHERE prompt <> ''",
         "head_examples": "SELECT item_id, benchmark FROM eval_items ORDER BY item_id LIMIT 50",
         "cyclic_prompts": "SELECT i.item_id, count(*) AS n_requests FROM request_measurement r JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM eval_items) i ON r.meas_id % i.n = i.k GROUP BY 1",
         "generation_summary": f"SELECT benchmark, count(*) AS total, count(*) FILTER (WHERE error IS NULL) AS ok FROM {TEACHER} GROUP BY 1",
@@ -149,7 +181,7 @@ def oracle_sql() -> dict[str, str]:
         "train_split": "SELECT CASE WHEN CAST('0x' || md5('42-' || id)[1:8] AS BIGINT) % 10000 < 1500 THEN 'validation' ELSE 'train' END AS split, count(*) AS n, count(DISTINCT id) AS n_ids FROM teacher_outputs GROUP BY 1",
         "label_mask": "SELECT item_id, array_to_string(list_transform(range(1, 49), lambda i: CASE WHEN i <= p OR i > len(w) THEN -100 ELSE length(w[i]) END), ',') AS labels, p >= least(48, len(w)) AS fully_masked FROM (SELECT item_id, string_split(question, ' ') AS w, len(string_split(split_part(question, '.', 1), ' ')) AS p FROM eval_items)",
         "turn_pairs": "SELECT user_id, event_id, prompt, completion FROM (SELECT user_id, event_id, props AS prompt, value < 40 AS u, lead(props) OVER w AS completion, lead(value) OVER w >= 40 AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE u AND a",
-        "leakage_exact": f"SELECT row_id FROM teacher_outputs WHERE md5({_PLAIN.format('prompt')}) IN (SELECT md5({_PLAIN.format('prompt')}) FROM {TEACHER} WHERE benchmark = 'arc_challenge' AND {_PLAIN.format('prompt')} <> '')",
+        "leakage_exact": f"SELECT doc_id FROM documents WHERE NOT coalesce(lower(source) LIKE 'forum%', false) AND {_PLAIN.format('text')} IN (SELECT {_PLAIN.format('text')} FROM documents WHERE lower(source) LIKE 'forum%' AND {_PLAIN.format('text')} <> '')",
         "leakage_ngrams": f"WITH i AS {_grams('eval_items', 'item_id', 'question', 8)}, d AS {_grams('documents', 'doc_id', 'text', 8)}, n AS (SELECT item_id, count(*) AS n_grams FROM i GROUP BY 1) SELECT doc_id AS doc, item_id AS item, count(*) AS shared, any_value(n_grams)::INTEGER AS n_grams, round(count(*) / any_value(n_grams), 6) AS containment FROM d JOIN i USING (gram) JOIN n USING (item_id) GROUP BY 1, 2 HAVING count(*) / any_value(n_grams) >= 0.5",
         "wording_confidence": f"SELECT row_id, round({_wording('teacher_completion')}, 6) AS confidence FROM teacher_outputs",
         "logprob_confidence": f"SELECT vec_id, round((exp(list_max({logits[0]})) + exp(list_max({logits[1]}))) / 2, 6) AS peak, round(({entropies[0]} + {entropies[1]}) / 2, 6) AS certainty FROM embeddings",
@@ -162,7 +194,31 @@ def oracle_sql() -> dict[str, str]:
         "latest_runs": "SELECT kind, model_role, timestamp_utc, run_id, git_commit FROM run_meta QUALIFY row_number() OVER (PARTITION BY kind, model_role ORDER BY timestamp_utc DESC, run_id DESC, git_commit DESC NULLS LAST) = 1",
         "run_folders": f"SELECT run_id, {run_part[0]} AS kind, {run_part[1]} AS role, strptime({run_part[2]}, '%Y%m%dT%H%M%SZ') AS run_ts, sha256(run_id)[1:12] AS hash FROM run_meta",
         "summary_union": "SELECT run_id, count(*) AS n_requests, NULL::BIGINT AS n_answers FROM request_measurement GROUP BY 1 UNION ALL SELECT run_id, NULL, count(*) FROM teacher_outputs GROUP BY 1",
-        "stdout_metrics": f"SELECT p_partkey, {', '.join(read.values())} FROM (SELECT p_partkey, {stdout} AS value FROM part)",
-        "training_log": f"SELECT {', '.join(loss.values())} FROM (SELECT unnest(regexp_extract_all(text, '(\\{{''loss'': [^{{}}]*\\}})', 1)) AS v FROM documents)",
+        "stdout_metrics": f"SELECT p_partkey, {', '.join(f'CASE WHEN p_partkey % 10 > 0 THEN {x.split(chr(32) + "AS" + chr(32))[0]} END AS {k}' for k, x in read.items())} FROM part",
+        "training_log": f"SELECT {', '.join(loss.values())} FROM (SELECT unnest(regexp_extract_all(text, '(\\{{''[a-z_]+'':[^{{}}]*\\}})', 1)) AS v FROM documents)",
         "json_fields": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+        "paired_responses": f"SELECT row_id, round(t_ms, 6) AS teacher_latency_ms, round(s_ms, 6) AS student_latency_ms, s_error AS student_error, round(conf, 6) AS student_confidence FROM {_PAIRS}",
+        "server_log": "SELECT p_partkey, '03-09 08:52:' || lpad((p_partkey % 60)::VARCHAR, 2, '0') AS at, p_retailprice::DOUBLE AS prompt_tps, p_size + 0.5::DOUBLE AS generation_tps, p_size::BIGINT AS running, 0::BIGINT AS waiting, p_size + 0.1::DOUBLE AS cache_usage_pct, 9.0::DOUBLE AS prefix_hit_pct FROM part WHERE p_partkey % 3 <> 0",
+        "json_log": "SELECT date_trunc('milliseconds', ts) AS ts, 'INFO' AS level, event_type AS logger, 'done' AS message, user_id AS job_id FROM events WHERE event_id % 5 <> 0",
+        "json_result": "SELECT p_size::BIGINT AS completed_requests, p_retailprice::DOUBLE AS total_time_s, 2.5::DOUBLE AS request_throughput_rps, p_partkey::BIGINT AS mean_ttft_ms, p_brand AS backend FROM part",
+        "jsonl_records": f"SELECT id, benchmark, prompt FROM {TEACHER}",
+        "csv_records": "SELECT run_id, kind, gpu_count FROM run_meta",
+        "summary_file": f"SELECT benchmark, count(*) AS total, count(*) FILTER (WHERE error IS NULL) AS ok FROM {TEACHER} GROUP BY 1",
+        "prompts_strict": "SELECT prompt FROM eval_items",
+        "prompts_lenient": "SELECT CASE WHEN item_id % 2 = 0 THEN prompt ELSE trim(regexp_replace(question, '[ \t\n\x0b\f\r]+', ' ', 'g')) END AS prompt FROM eval_items",
+        "prompts_extra": "SELECT 'extra-' || n AS id, 'extra' AS benchmark, CASE WHEN item_id % 11 = 0 THEN '' ELSE prompt END AS prompt FROM (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS n FROM eval_items) WHERE item_id % 7 <> 0",
+        "scored_files": f"SELECT row_id AS index, p AS predicted_answer, p IS NOT NULL AS scorable, p IS NOT NULL AND {_close(_parsed('p'), _parsed('reference_answer'))} AS correct, file FROM (SELECT row_id, reference_answer, CASE WHEN coalesce(error, '') = '' THEN {_last('model_response', FINAL_NUMBER_LENIENT)} END AS p FROM gsm8k_unscorable), (SELECT unnest(['results', 'unscorable']) AS file) WHERE file = 'results' OR p IS NULL",
+        "teacher_files": "SELECT place, teacher_model, count(*) AS n_rows, count(error) AS failed, sum(generation_parameters.max_tokens)::BIGINT AS max_tokens, sum(length(teacher_completion))::BIGINT AS chars FROM teacher_outputs, (SELECT unnest([0, 1]) AS place) GROUP BY 1, 2",
+        "run_files": f"SELECT run_id, seed, kind, role, run_ts, run_ts::DATE AS run_day FROM (SELECT run_id, seed, {run_part[0]} AS kind, {run_part[1]} AS role, strptime({run_part[2]}, '%Y%m%dT%H%M%SZ') AS run_ts FROM run_meta)",
+        "boxed_examples": f"SELECT problem, level, coalesce(nullif(b, ''), {_strip('solution')}) AS reference_answer, b IS NOT NULL AS reference_is_boxed FROM (SELECT question AS problem, benchmark AS level, solution, {_strip(f'regexp_extract_all(solution, {_quoted(_BOX)}, 1)[-1]')} AS b FROM eval_items)",
+        "choice_examples": "SELECT p_partkey::VARCHAR AS id, p_name AS question, array_to_string(list_transform(range(1, len(w) + 1), lambda i: ['A', 'B', 'C', 'D'][i] || ') ' || w[i]), chr(10)) AS options, ['A', 'B', 'C'][p_partkey % 3 + 1] AS reference_answer, p_brand AS category FROM (SELECT *, string_split(p_type, ' ') AS w FROM part)",
+        "example_responses": f"""WITH x AS (SELECT benchmark, row_number() OVER (ORDER BY item_id) - 1 AS index, {_strip(f'CASE WHEN regexp_matches(solution, {_quoted(FINAL_NUMBER)}) THEN regexp_extract(solution, {_quoted(FINAL_NUMBER)}, 1) ELSE solution END')} AS ref FROM eval_items),
+          r AS (SELECT 'gsm8k' AS benchmark, example_index AS index, CASE WHEN coalesce(error, '') = '' THEN {_last('model_response', FINAL_NUMBER_LENIENT)} END AS p, true AS there FROM gsm8k_unscorable)
+          SELECT benchmark, count(*) AS total, count(*) FILTER (WHERE there IS NULL) AS unanswered, count(p) AS scorable, count(*) FILTER (WHERE p IS NOT NULL AND {_close(_parsed('p'), _parsed('ref'))}) AS correct FROM x LEFT JOIN r USING (benchmark, index) GROUP BY 1""",
+        "score_reference_not_boxed": f"SELECT CASE WHEN error <> '' THEN 'request_error: ' || error WHEN b IS NULL THEN 'no_boxed_answer_in_response' WHEN row_id % 2 <> 0 THEN 'reference_not_boxed' ELSE 'scored' END AS reason, count(*) AS n FROM (SELECT row_id, error, {boxed} AS b FROM teacher_outputs) GROUP BY 1",
+        "role_resolution": "SELECT run_id, model_role, CASE model_role WHEN 'teacher' THEN 'large' WHEN 'student_mid' THEN 'mid' END AS model FROM run_meta",
+        "config_merge": """SELECT 7 AS seed, 2.5::DOUBLE AS rate, '3' AS kept, sha256('{"kept": [3], "run": {"rate": 2.5, "seed": 7}}')[1:12] AS config_hash""",
+        "run_metadata": """SELECT 42::BIGINT AS seed, sha256('{"a": 1}')[1:12] AS config_hash, true AS gpus_counted, true AS has_packages, true AS has_time, true AS has_host""",
+        "latency_summary_approx": "SELECT user_id % 5 AS request_rate, count(*) AS n, true AS p50_within, true AS p95_within, true AS p99_within FROM events WHERE event_type <> 'error' AND value IS NOT NULL AND NOT isnan(value) GROUP BY 1",
+        "distinct_users_approx": "SELECT event_type, count(DISTINCT user_id) AS n, true AS within FROM events GROUP BY 1",
     }

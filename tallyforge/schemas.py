@@ -9,15 +9,12 @@ NUMERIC_RESULT = "index BIGINT, question STRING, reference_answer STRING, model_
 BOXED_EXAMPLE = "problem STRING, level STRING, type STRING, full_solution STRING, reference_answer STRING, reference_is_boxed BOOLEAN"
 CHOICE_RAW = "id STRING, question STRING, choices STRUCT<label: ARRAY<STRING>, text: ARRAY<STRING>>, answerKey STRING, category STRING"
 MIXED_EXAMPLE = "prompt STRING, reference_answer STRING, answer_type STRING, source_dataset STRING"
-RESPONSE = "benchmark STRING, index BIGINT, model STRING, text STRING, latency_ms DOUBLE, error STRING"
 TEACHER_OUTPUT = (
     "id STRING, benchmark STRING, prompt STRING, teacher_completion STRING, teacher_model STRING, generation_parameters STRUCT<temperature: DOUBLE, top_p: DOUBLE, max_tokens: INT>,"
     " latency_ms DOUBLE, finish_reason STRING, error STRING"
 )
-TOKENS = "id STRING, input_ids ARRAY<INT>, attention_mask ARRAY<INT>, prompt_len INT"
-LOGPROBS = "prompt_index BIGINT, logprobs ARRAY<MAP<STRING, DOUBLE>>, response_text STRING"
-ROUTED = "prompt_index BIGINT, selected_model STRING, latency_ms DOUBLE, response_text STRING, confidence DOUBLE, reason STRING, metadata MAP<STRING, STRING>"
 RUN_META = (
     "timestamp_utc STRING, hostname STRING, seed BIGINT, git_commit STRING, config_hash STRING, slurm_job_id STRING, gpu_count INT,"
-    " gpus ARRAY<STRUCT<index: INT, name: STRING, total_memory_mb: BIGINT>>, pip_freeze ARRAY<STRING>"
+    " gpus ARRAY<STRUCT<index: INT, name: STRING, total_memory_mb: BIGINT>>, pip_freeze ARRAY<STRING>,"
+    " python_version STRING, platform STRING, spark_version STRING"
 )

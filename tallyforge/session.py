@@ -37,6 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _own_dir: str | None = None
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,14 +68,28 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for files that are removed by ``release``, or else when the driver ends."""
+    path = f"{shared_dir(spark)}/tallyforge-{name}-{uuid.uuid4().hex[:12]}"
+    if not _made:
+        atexit.register(release, spark)
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all files made so far. A driver that lives long calls it once the results that were built on them are written."""
+    while _made:
+        _remove(spark, _made.pop())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so later stages start from files.
 
     Unlike a cached or locally checkpointed table the files outlive any executor; each is read with
-    column pruning. They are removed when the driver ends.
+    column pruning. They are removed by ``release``, or when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyforge-{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge import schemas
+from tallyforge.functions.text import strip
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -18,9 +17,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 def read_prompts_lenient(spark: SparkSession, path: str) -> DataFrame:
     """``prompt`` of each line: the field of a JSON object that has it, else the line itself; blank lines dropped."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).select(strip(F.col("value")).alias("value")).where("value <> ''")
     parsed = F.from_json("value", "prompt string", {"mode": "PERMISSIVE"})
-    return lines.select(F.coalesce(parsed["prompt"], F.trim("value")).alias("prompt"))
+    return lines.select(F.coalesce(parsed["prompt"], F.col("value")).alias("prompt"))
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
@@ -30,16 +29,21 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_extra_prompts(spark: SparkSession, path: str | None) -> DataFrame:
-    """Optional prompts as ``id, benchmark, prompt``: no path or no file gives none. The id has the file's raw line
-    number, from 0, blank lines counted; the file is read in one piece to number its lines."""
-    empty = spark.createDataFrame([], schemas.PROMPT)
-    if not path or "://" not in path and not Path(path).exists():
-        return empty
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where(F.trim("line") != "")
-    prompt = F.coalesce(F.from_json("line", "prompt string")["prompt"], F.trim("line"))
+    """Optional prompts as ``id, benchmark, prompt``: no path or no file, here or on a remote store, gives none. The id has the
+    file's raw line number, from 0, blank lines counted; the file is read in one piece to number its lines. A line that is no JSON
+    object is an error; one without the field gives an empty prompt."""
+    if not path or not exists(spark, path):
+        return spark.createDataFrame([], schemas.PROMPT)
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).select("n", strip(F.col("line")).alias("line")).where("line <> ''")
+    prompt = F.coalesce(F.from_json("line", "prompt string", {"mode": "FAILFAST"})["prompt"], F.lit(""))
     return lines.select(F.concat(F.lit("extra-"), F.col("n").cast("string")).alias("id"), F.lit("extra").alias("benchmark"), prompt.alias("prompt"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
+
+
 def read_json_result(spark: SparkSession, path: str) -> DataFrame:
     """A benchmark's JSON result under the names this library uses; unknown keys pass."""
     return rename_result(spark.read.option("multiLine", True).json(path))
@@ -116,12 +120,12 @@ def read_runs(spark: SparkSession, root: str, file: str, schema: T.StructType |
 
 
 def parse_json_log(df: DataFrame, text: str = "value") -> DataFrame:
-    """``ts, level, logger, message`` and all other fields as a map; lines that are no JSON objects are dropped."""
+    """``ts`` (as loggers print it, or ISO), ``level, logger, message`` and all other fields as a map; lines that are no JSON objects are dropped."""
     fields = F.from_json(F.col(text), "map<string,string>")
-    rows = df.where(F.trim(text).startswith("{")).select(fields.alias("f")).where("f IS NOT NULL AND f['message'] IS NOT NULL")
+    rows = df.where(strip(F.col(text)).startswith("{")).select(fields.alias("f")).where("f IS NOT NULL AND f['message'] IS NOT NULL")
     known = ("ts", "level", "logger", "message")
     return rows.select(
-        F.try_to_timestamp(F.col("f")["ts"], F.lit("yyyy-MM-dd HH:mm:ss,SSS")).alias("ts"),
+        F.coalesce(F.try_to_timestamp(F.col("f")["ts"], F.lit("yyyy-MM-dd HH:mm:ss,SSS")), F.col("f")["ts"].try_cast("timestamp")).alias("ts"),
         *[F.col("f")[k].alias(k) for k in known[1:]],
         F.map_filter("f", lambda k, v: ~k.isin(*known)).alias("extra"),
     )
@@ -142,8 +146,8 @@ def parse_server_log(df: DataFrame, text: str = "value") -> DataFrame:
 
 
 def parse_training_log(df: DataFrame, text: str = "value") -> DataFrame:
-    """Steps and final figures of a trainer's printed dictionaries; other lines dropped."""
-    lines = df.where(F.trim(text).rlike(r"^\{'[a-z_]+':"))
+    """Steps and final figures of a trainer's printed dictionaries, wherever in a line they stand; other lines dropped."""
+    lines = df.select(F.explode(F.regexp_extract_all(text, F.lit(r"(\{'[a-z_]+':[^{}]*\})"), F.lit(1))).alias(text))
     fields = "loss double, grad_norm double, learning_rate double, epoch double, train_runtime double, train_samples_per_second double, train_steps_per_second double, train_loss double"
     return lines.select(F.from_json(F.replace(F.trim(text), F.lit("'"), F.lit('"')), fields).alias("f")).select("f.*")
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +12,9 @@ from pyspark.sql import functions as F
 from tallyforge.session import materialize
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """One JSON record a line, UTF-8, nulls kept."""
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def write_jsonl(df: DataFrame, path: str, order: str | None = None) -> None:
+    """One JSON record a line, UTF-8, nulls kept; in the order of a column, over all files, if one is named."""
+    (df.orderBy(order) if order else df).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -24,12 +23,17 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_pretty_json(rows: DataFrame, path: str, most: int = 10_000) -> None:
-    """A small summary as one indented JSON file on the driver; more than ``most`` rows are an error."""
+    """A small summary as one indented JSON file, on whatever store the path names; more than ``most`` rows are an error."""
     found = rows.limit(most + 1).collect()
     if len(found) > most:
         raise ValueError(f"more than {most} rows: use write_jsonl")
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps([r.asDict(True) for r in found], indent=2, default=str, ensure_ascii=False), encoding="utf-8")
+    context = rows.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(json.dumps([r.asDict(True) for r in found], indent=2, default=str, ensure_ascii=False).encode("utf-8")))
+    finally:
+        out.close()
 
 
 def union_summaries(parts: Sequence[DataFrame]) -> DataFrame:
@@ -37,13 +41,13 @@ def union_summaries(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def write_scored(scored: DataFrame, results: str, unscorable: str) -> None:
-    """All results, and those that could not be scored once more on their own if there are any."""
+def write_scored(scored: DataFrame, results: str, unscorable: str, order: str | None = None) -> None:
+    """All results, by ``order`` (the example's index) if given, and those that could not be scored once more on their own if there are any."""
     kept = materialize(scored, "scored")
-    write_jsonl(kept, results)
+    write_jsonl(kept, results, order)
     side = kept.where(~F.col("scorable"))
     if not side.isEmpty():
-        write_jsonl(side, unscorable)
+        write_jsonl(side, unscorable, order)
 
 
 def write_teacher_outputs(rows: DataFrame, paths: Sequence[str]) -> None:

@@ -1,4 +1,7 @@
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from oracle_check import compare, connect
@@ -25,3 +28,9 @@ def test_query_equals_sql(spark, con, name):
 
 def test_all_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_core_runs_where_the_subpackage_cannot_be_imported():
+    """A module that only the training-data operators import is missing."""
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; assert e.queries() and e.oracle_sql() and not any(n[:2] in ('p1', 'p2') for n in e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)

@@ -46,7 +46,7 @@ def test_scoring(spark):
     df = spark.createDataFrame([("#### 1,200", "1200", None), ("no number", "3", None), ("#### 5", "5", "timeout"), ("#### 4", "5", None)], "response string, ref string, error string")
     assert [(r["scorable"], r["correct"]) for r in accuracy.score_numeric(df, "response", "ref", "error").collect()] == [(True, True), (False, False), (False, False), (True, False)]
     boxed = spark.createDataFrame([("\\boxed{\\frac{1}{2}}", "0.5", None), ("none", "1", None), ("\\boxed{1}", "1", "late")], "response string, ref string, error string")
-    assert [(r["ambiguity_reason"], r["correct"]) for r in accuracy.score_boxed(boxed, "response", "ref", "error").collect()] == [(None, True), ("no_boxed_answer_in_response", False), ("late", False)]
+    assert [(r["ambiguity_reason"], r["correct"]) for r in accuracy.score_boxed(boxed, "response", "ref", "error").collect()] == [(None, True), ("no_boxed_answer_in_response", False), ("request_error: late", False)]
     letters = spark.createDataFrame([("The answer is B", "B", None), ("hm", "A", None)], "response string, ref string, error string")
     assert [(r["scorable"], r["correct"]) for r in accuracy.score_first_choice(letters, "response", "ref", "error").collect()] == [(True, True), (False, False)]
     mixed = spark.createDataFrame([("option (c)", "C", "multiple_choice"), ("1/2", "0.5", "free_text"), ("", "x", "free_text"), (None, "A", "multiple_choice"), ("red", "red", "free_text")], "response string, ref string, kind string")
@@ -154,7 +154,8 @@ P99 TPOT (ms):                           38.50
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"prompt": "one"}\n\nplain text\n{"other": 1}\n{broken\n')
     assert [r[0] for r in readers.read_prompts_lenient(spark, str(tmp_path / "p.jsonl")).collect()] == ["one", "plain text", '{"other": 1}', "{broken"]
-    assert [tuple(r)[0] for r in readers.read_extra_prompts(spark, str(tmp_path / "p.jsonl")).collect()] == ["extra-0", "extra-2", "extra-3", "extra-4"]
+    (tmp_path / "extra.jsonl").write_text('{"prompt": "a"}\n\n{"prompt": "b"}\n')
+    assert [tuple(r)[0] for r in readers.read_extra_prompts(spark, str(tmp_path / "extra.jsonl")).collect()] == ["extra-0", "extra-2"]
     assert readers.read_extra_prompts(spark, str(tmp_path / "none")).collect() == [] and readers.read_extra_prompts(spark, None).collect() == []
     (tmp_path / "bad.jsonl").write_text('{"prompt": "one"}\n{broken\n')
     with pytest.raises(Exception):
