@@ -10,9 +10,16 @@ position) along which the words are compared; the item's words matched on any di
 included, make its coverage, so parts may stand apart. A document carries an item if more than
 ``COVERAGE`` of the question (without options) or of the worked solution is covered.
 
-The items are handled in blocks of at most ``BLOCK`` rows, each small enough to be sent to every task, and
-every block meets all documents; nothing of the documents is shuffled. Null, empty and wordless texts
-match nothing; repeated documents each give their rows; items without ``LEAST`` words of text are skipped.
+Windows without a slot count for the texts of items of which more than ``PLAIN_SHARE`` lies in no window with one; elsewhere
+they would say no more than that a document is of the same build. Texts of ``SHORT`` to ``LEAST - 1`` words are
+found where all their words stand in a row; still shorter ones, such as an option's letter, are no running text.
+
+What a word's type is follows from all items at once. Items up to ``ITEMS_MOST`` are an index that every task holds, and nothing
+of the documents is shuffled. Beyond it windows of items and documents are joined by a shuffle, and each pair that
+meets is compared in the same way, with equal results.
+
+Null, empty and wordless texts match nothing; repeated documents each give their rows, repeated items one; items without
+an id are left out. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +36,10 @@ from pyspark.sql import functions as F
 from tallyforge.llm.hashing import WordHashes, mix
 from tallyforge.llm.textnorm import words
 
-WINDOW, COVERAGE, LEAST, BLOCK = 6, 0.5, 8, 20_000
+WINDOW, COVERAGE, LEAST, SHORT = 6, 0.5, 8, 4
+PLAIN_SHARE, ITEMS_MOST = 0.25, 20_000
+#: A plain word stands in more than this share of the items' texts, and in more than PLAIN_LEAST.
+PLAIN_TEXTS, PLAIN_LEAST = 0.02, 2
 #: A word is taken as matched if so many of the ``AROUND`` words around it are equal on its diagonal.
 AROUND, EQUAL = 5, 4
 #: Of the slots in the matched words, so many must hold equal values ...
@@ -48,48 +58,68 @@ _CAPITAL = re.compile(r"(?<![.?!:]\s)(?<=\s)[A-Z][a-zà-ɏ]+")
 _SLOT_NUMBER, _SLOT_UNIT, _SLOT_NAME = (np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1)) for k in (3, 5, 7))
 
 
+def fields(question: str | None, solution: str | None) -> list[str]:
+    """The texts of an item that a document may carry: the question without its options, and the solution."""
+    return [_OPTIONS.split(question or "")[0], solution or ""]
+
+
+def vocabulary(texts: Iterable[str]) -> tuple[int, Counter[str], set[str]]:
+    """How many texts have words enough, in how many each word stands, and which words are written as names."""
+    n, spread, names = 0, Counter(), set()
+    for text in texts:
+        found = words(text)
+        if len(found) >= LEAST:
+            n += 1
+            spread.update(set(found))
+            names.update(w.lower() for w in _CAPITAL.findall(text))
+    return n, spread, names
+
+
+def plain_words(n: int, spread: Iterable[tuple[str, int]], names: set[str]) -> frozenset[str]:
+    """Words that recur throughout the builds; names and the things of an item do not. At most 1 / PLAIN_TEXTS times as many as a text has words."""
+    return frozenset(w for w, m in spread if m > max(PLAIN_LEAST, PLAIN_TEXTS * n) and not w[0].isdigit() and w not in names and w not in UNITS)
+
+
 class Index:
-    """Template windows of one block of items, by hash, with the slot values that they hold."""
+    """Template windows of items, by hash, with the slot values that they hold."""
 
-    def __init__(self, rows: Iterable[Row]):
+    def __init__(self, rows: Iterable[Row], plain: frozenset[str]):
+        self.plain = plain
         self.fields: list[tuple[int, np.ndarray]] = []
         self.slots: list[np.ndarray] = []
         self.telling: list[np.ndarray] = []
         self.own_runs: list[np.ndarray] = []
-        hashes = WordHashes()
-        sequences, names, spread = [], set(), Counter()
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.hashes = WordHashes()
+        windows: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for row in rows:
-            question = _OPTIONS.split(row["question"] or "")[0]
-            for text in (question, row["solution"] or ""):
+            for text in fields(row["question"], row["solution"]):
                 found = words(text)
-                if len(found) >= LEAST:
-                    sequences.append((row["item_id"], found))
-                    spread.update(set(found))
-                    names.update(w.lower() for w in _CAPITAL.findall(text))
-        # a plain word recurs throughout a build; names and the things of an item do not
-        rare = {w for w, n in spread.items() if n <= max(2, 0.02 * len(sequences))}
-        self.plain = {w for w in spread if not w[0].isdigit() and w not in names and w not in rare and w not in UNITS}
-        self.hashes = hashes
-        windows: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for item, found in sequences:
-            raw, template, slot = self.encode(found)
-            self.fields.append((item, raw))
-            self.slots.append(slot)
-            self.telling.append(np.array([w[0].isdigit() or w in names for w in found]))
-            self.own_runs.append(self.runs(raw))
-            keys, values, has = self.windows(raw, template, slot)
-            for at in np.flatnonzero(has):
-                windows[int(keys[at])].append((int(values[at]), len(self.fields) - 1, int(at)))
+                if SHORT <= len(found) < LEAST:
+                    self.short[len(found)][int(self.runs(self.hashes.of(found), len(found))[0])].append(row["item_id"])
+                if len(found) < LEAST:
+                    continue
+                raw, template, slot = self.encode(found)
+                self.fields.append((row["item_id"], raw))
+                self.slots.append(slot)
+                own_names = {w.lower() for w in _CAPITAL.findall(text)}
+                self.telling.append(np.array([w[0].isdigit() or w in own_names for w in found]))
+                self.own_runs.append(self.runs(raw))
+                keys, values, has = self.windows(raw, template, slot)
+                for at in np.flatnonzero(self.counted(has)):
+                    windows[int(keys[at])][int(values[at])].append((len(self.fields) - 1, int(at)))
+        self.entries = {key: dict(by) for key, by in windows.items()}
+        self.short = {n: dict(by) for n, by in self.short.items()}
         self.keys = np.array(sorted(windows), dtype=np.uint64)
-        self.entries: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for key, found in windows.items():
-            by_value: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for value, field, at in found:
-                by_value[value].append((field, at))
-            self.entries[key] = dict(by_value)
         self.values = np.array(sorted({v for by in self.entries.values() for v in by}), dtype=np.uint64)
         self.hashes.clear()
 
+    @staticmethod
+    def counted(has: np.ndarray) -> np.ndarray:
+        """Which windows of a text are evidence: those with a slot, or all where these leave out too much of the text."""
+        reached = np.convolve(has, np.ones(WINDOW), "full") > 0
+        return np.ones(len(has), bool) if 1 - reached.mean() > PLAIN_SHARE else has
+
     def encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word hashes, the same with placeholders for slots, and which words are slots."""
         raw = self.hashes.of(found)
@@ -119,12 +149,12 @@ class Index:
         return mix(key), mix(value), has > 0
 
     @staticmethod
-    def runs(raw: np.ndarray) -> np.ndarray:
-        """Hash of the ``AROUND`` words from each place on."""
-        n = max(0, len(raw) - AROUND + 1)
+    def runs(raw: np.ndarray, size: int = AROUND) -> np.ndarray:
+        """Hash of the ``size`` words from each place on."""
+        n = max(0, len(raw) - size + 1)
         out = np.zeros(n, np.uint64)
         with np.errstate(over="ignore"):
-            for k in range(AROUND):
+            for k in range(size):
                 out += raw[k : k + n] * np.uint64((2 * k + 3) * 0x85EBCA6B | 1)
         return mix(out)
 
@@ -136,23 +166,27 @@ class Index:
         if not flat:
             return out
         raw, template, slot = self.encode(flat)
-        keys, values, has = self.windows(raw, template, slot)
-        if not len(keys) or not len(self.keys):
-            return out
+        ends = np.cumsum([len(x) for x in found])
+        best: dict[tuple[int, int], float] = {}
+        for size, wanted in self.short.items():
+            own = self.runs(raw, size)
+            for p in np.flatnonzero(np.isin(own, np.array(list(wanted), np.uint64))).tolist():
+                d = int(np.searchsorted(ends, p, side="right"))
+                if p + size <= ends[d]:
+                    best.update({(d, item): 1.0 for item in wanted[int(own[p])]})
+        keys, values, _ = self.windows(raw, template, slot)
         # the hash join: windows whose template some item has, then those whose slot values some item has
-        at = np.flatnonzero(has)
+        at = np.arange(len(keys) if len(self.keys) else 0)
         for wanted, own in ((self.keys, keys), (self.values, values)):
             place = np.searchsorted(wanted, own[at])
             place[place == len(wanted)] = 0
             at = at[wanted[place] == own[at]]
-        ends = np.cumsum([len(x) for x in found])
         doc = np.searchsorted(ends, at, side="right")
         inside = at + WINDOW <= ends[doc]
         seeds: dict[tuple[int, int], set[int]] = defaultdict(set)
         for p, d in zip(at[inside].tolist(), doc[inside].tolist()):
             for field, q in self.entries[int(keys[p])].get(int(values[p]), ()):
                 seeds[d, field].add(p - q)
-        best: dict[tuple[int, int], float] = {}
         runs = self.runs(raw) if seeds else raw
         for (d, field), diagonals in seeds.items():
             start, end = int(ends[d]) - len(found[d]), int(ends[d])
@@ -211,19 +245,87 @@ def _carried(index: Index):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, texts, names): in how many texts of the items each word stands, and how often it is written as a name; the number of texts under null."""
+    for batch in batches:
+        n, spread, names = vocabulary(t for q, s in zip(batch.column("question").to_pylist(), batch.column("solution").to_pylist()) for t in fields(q, s))
+        every = [None, *(spread.keys() | names)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(every, pa.string()), pa.array([n, *(spread[w] for w in every[1:])], pa.int64()), pa.array([0, *(int(w in names) for w in every[1:])], pa.int64())], names=["word", "texts", "names"]
+        )
+
+
+def plain_of(items: DataFrame) -> frozenset[str]:
+    """The plain words of all items; only frequent words, a bounded number, come to the driver."""
+    counted = items.mapInArrow(_spread, "word string, texts bigint, names bigint").groupBy("word").agg(F.sum("texts").alias("texts"), F.sum("names").alias("names"))
+    n = counted.where("word IS NULL").agg(F.coalesce(F.max("texts"), F.lit(0))).collect()[0][0]
+    rows = counted.where("word IS NOT NULL AND names = 0").where(F.col("texts") > max(PLAIN_LEAST, PLAIN_TEXTS * n)).collect()
+    return plain_words(n, [(r["word"], r["texts"]) for r in rows], set())
+
+
+def _met(plain: frozenset[str], item_side: bool):
+    """(id, key, value) of the windows of texts: of items those that are evidence, of documents all; runs of short texts with their length as value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index([], plain)
+        for batch in batches:
+            ids, keys, values = [], [], []
+
+            def add(i: int, k: np.ndarray, v: np.ndarray) -> None:
+                both = np.unique(np.stack((k, v), 1), axis=0)
+                ids.append(np.full(len(both), i, np.int64))
+                keys.append(both[:, 0].astype(np.int64))
+                values.append(both[:, 1].astype(np.int64))
+
+            texts = [fields(q, s) for q, s in zip(batch.column("question").to_pylist(), batch.column("solution").to_pylist())] if item_side else [[t or ""] for t in batch.column("text").to_pylist()]
+            for i, own in zip(batch.column("id").to_pylist(), texts):
+                for text in own:
+                    found = words(text)
+                    raw, template, slot = index.encode(found)
+                    for size in range(SHORT, LEAST):
+                        if not item_side or size == len(found):
+                            run_of = index.runs(raw, size)
+                            add(i, run_of, np.full(len(run_of), size, np.uint64))
+                    if not item_side or len(found) >= LEAST:
+                        k, v, has = index.windows(raw, template, slot)
+                        at = index.counted(has) if item_side and len(has) else np.ones(len(k), bool)
+                        add(i, k[at], v[at])
+            none = [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none)) for x in (ids, keys, values)], names=["id", "key", "value"])
+
+    return run
+
+
+def _compared(plain: frozenset[str]):
+    """Pairs that met, each compared as an index of one item would."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, found_items, shares = [], [], []
+            for doc, text, item, texts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "item_id", "texts"))):
+                rows = [{"item_id": item, "question": x["question"], "solution": x["solution"]} for x in texts]
+                for _, share in Index(rows, plain).carried([text])[0]:
+                    docs.append(doc)
+                    found_items.append(item)
+                    shares.append(share)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found_items, pa.int64()), pa.array(shares, pa.float64())], names=["doc_id", "item_id", "coverage"])
+
+    return run
+
+
+def leaks(documents: DataFrame, items: DataFrame, items_most: int = ITEMS_MOST) -> DataFrame:
     """``doc_id, item_id, coverage`` for every document of ``documents(doc_id, text)`` that carries an item of
     ``items(item_id, question, solution)``."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    asked = items.select(F.col("item_id").cast("bigint").alias("item_id"), "question", "solution").where("item_id IS NOT NULL")
     schema = "doc_id bigint, item_id bigint, coverage double"
-    out, block = None, []
-
-    def add(found: DataFrame | None) -> DataFrame:
-        one = docs.mapInArrow(_carried(Index(block)), schema)
-        return one if found is None else found.unionByName(one)
-
-    for row in items.select(F.col("item_id").cast("bigint").alias("item_id"), "question", "solution").orderBy("item_id").toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            out, block = add(out), []
-    return add(out) if block or out is None else out
+    few = asked.limit(items_most + 1).collect()
+    if len(few) <= items_most:
+        n, spread, names = vocabulary(t for r in few for t in fields(r["question"], r["solution"]))
+        return docs.mapInArrow(_carried(Index(sorted(few, key=repr), plain_words(n, spread.items(), names))), schema)
+    plain = plain_of(asked)
+    own = asked.select(F.col("item_id").alias("id"), "question", "solution").mapInArrow(_met(plain, True), "id bigint, key bigint, value bigint").withColumnRenamed("id", "item_id").distinct()
+    met = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(_met(plain, False), "id bigint, key bigint, value bigint").withColumnRenamed("id", "doc_id")
+    pairs = met.join(own, ["key", "value"]).select("doc_id", "item_id").distinct()
+    texts = asked.groupBy("item_id").agg(F.collect_list(F.struct("question", "solution")).alias("texts"))  # the rows of one id
+    return pairs.join(docs, "doc_id").join(texts, "item_id").select("doc_id", "text", "item_id", "texts").mapInArrow(_compared(plain), schema)

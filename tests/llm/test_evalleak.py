@@ -69,18 +69,37 @@ def brute(text, item):
     return best
 
 
-def test_cases(spark, monkeypatch):
+def test_cases(spark):
     docs = spark.createDataFrame([(i, t, "clash") for i, (t, _) in enumerate(CASES)] + [(0, CASES[0][0], "clash")], "doc_id bigint, text string, item_id string").repartition(3)
     items = spark.createDataFrame(ITEMS, "item_id bigint, question string, solution string")
     want = sorted([(i, k) for i, (_, found) in enumerate(CASES) for k in found] + [(0, 0)])
     assert sorted((r["doc_id"], r["item_id"]) for r in evalleak.leaks(docs, items).collect()) == want
-    # the same in blocks of items
-    monkeypatch.setattr(evalleak, "BLOCK", 11)
-    assert {(r["doc_id"], r["item_id"]) for r in evalleak.leaks(docs, items).collect()} == set(want)
+    # the same by a join
+    assert sorted((r["doc_id"], r["item_id"]) for r in evalleak.leaks(docs, items, items_most=3).collect()) == want
+
+
+PLAIN = "it is said that the sum of all the parts is more than the whole of it and so on"
+
+
+def test_items_of_plain_words_and_short_items(spark):
+    """Items whose words all recur in other items, and items of a few words, are found where they are copied; nothing of one letter is."""
+    items = [(k, PLAIN, "C") for k in range(4)] + [(10 + k, f"{PLAIN} in case {k} as we see", None) for k in range(6)] + [(50, "Who wrote the old letter?", "B"), (51, "Say it", "word for word as ever"), (None, PLAIN, None)]
+    docs = [(1, FILL + PLAIN.upper() + ". " + FILL), (2, "who WROTE the  old *letter*"), (3, "who wrote the new letter"), (4, "C B say it"), (5, "It was word for word, as ever, that it came."), (6, FILL), (7, None), (8, PLAIN[: len(PLAIN) // 3])]
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, question string, solution string")
+    found = {(r["doc_id"], r["item_id"]) for r in evalleak.leaks(*frames).collect()}
+    assert {(1, k) for k in range(4)} <= found and {(d, i) for d, i in found if d != 1} == {(2, 50), (5, 51)}
+    assert {(r["doc_id"], r["item_id"]) for r in evalleak.leaks(*frames, items_most=1).collect()} == found
+
+
+def test_types_of_words_follow_from_all_items(spark):
+    frame = spark.createDataFrame(ITEMS, "item_id bigint, question string, solution string").repartition(5)
+    n, spread, names = evalleak.vocabulary(t for r in frame.collect() for t in evalleak.fields(r["question"], r["solution"]))
+    assert evalleak.plain_of(frame) == evalleak.plain_words(n, spread.items(), names) != frozenset()
 
 
 def test_whole_copies_agree_with_brute_force(spark):
-    index = evalleak.Index([{"item_id": a, "question": b, "solution": c} for a, b, c in ITEMS])
+    n, spread, names = evalleak.vocabulary(t for _, q, s in ITEMS for t in evalleak.fields(q, s))
+    index = evalleak.Index([{"item_id": a, "question": b, "solution": c} for a, b, c in ITEMS], evalleak.plain_words(n, spread.items(), names))
     for text, found in CASES:
         own = {k for k, _ in index.carried([text])[0]}
         assert {i[0] for i in ITEMS if brute(text, i) > 0.9} <= own, text
@@ -90,7 +109,7 @@ def test_whole_copies_agree_with_brute_force(spark):
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, question(0))], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, question string, solution string")
-    assert evalleak.leaks(docs, items.limit(0)).collect() == [] and evalleak.leaks(docs.limit(0), items).collect() == []
+    assert evalleak.leaks(docs, items.limit(0)).collect() == [] and evalleak.leaks(docs.limit(0), items).collect() == [] == evalleak.leaks(docs.limit(0), items, items_most=0).collect()
 
 
 def test_words():
