@@ -2,11 +2,13 @@
 
 1. Every text is sized in tokens of a public tokenizer, and its hashed token counts are projected to
    ``DIMENSIONS`` numbers (a fixed random projection of the normalised hashed vector).
-2. Each number is replaced by its rank among all documents (``2**BITS`` equal parts), and the ranks give
-   the document's place on a Hilbert curve, so that documents with like wording lie near each other.
+2. Each number is replaced by its rank among all documents (``2**BITS`` equal parts, each divided evenly into
+   ``2**FINE_BITS``), and the ranks give the document's place on a Hilbert curve, so that documents with like
+   wording lie near each other.
 3. The curve is cut into stretches of about ``STRETCH`` tokens: the token counts of its ``2**CELL_BITS``
-   cells are summed first, so the cuts depend on the data alone, and a cell of more tokens - a hot group of
-   copies, say - is itself split by the hash of ``doc_id``.
+   cells are summed first, so the cuts depend on the data alone. A cell of more tokens is cut by its own cells in the same
+   way, and so on, as many levels as the place has bits for; only documents of one and the same place, such as a hot group of
+   copies, are divided by the hash of ``doc_id``.
 4. Each stretch is packed in the order of the curve: in blocks of ``NEIGHBOURS`` documents the longest
    first, into the fullest open sequence that has room, or a new one.
 
@@ -21,6 +23,7 @@ import base64
 import bisect
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,8 +38,10 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the public split pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-HASHED, DIMENSIONS, BITS, CELL_BITS = 256, 4, 6, 12
+HASHED, DIMENSIONS, BITS, FINE_BITS, CELL_BITS = 256, 4, 6, 6, 12
 STRETCH, NEIGHBOURS = 4_000_000, 2048
+#: Cells up to this number are sent to every task; more are joined by a shuffle.
+BROADCAST_MOST = 1_000_000
 
 
 def tokenizer(folder: str = TOKENIZERS):
@@ -119,28 +124,47 @@ def hilbert(ranks: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _placed(cuts: list[list[float]]):
+    """``cuts`` has for each number its least value, the borders of the equal parts, and its greatest value."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = [np.array(c, np.float32) for c in cuts]
         for batch in batches:
-            ranks = np.stack([np.searchsorted(edges[k], batch.column(f"x{k}").to_numpy(zero_copy_only=False), side="right") for k in range(DIMENSIONS)], 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(hilbert(ranks, BITS))], names=["doc_id", "n_tokens", "place"])
+            ranks = []
+            for k, own in enumerate(edges):
+                x = batch.column(f"x{k}").to_numpy(zero_copy_only=False)
+                part = np.searchsorted(own[1:-1], x, side="right")
+                low, high = own[part], own[part + 1]
+                within = np.where(high > low, (x - low) / np.where(high > low, high - low, 1), 0)
+                ranks.append(part << FINE_BITS | np.clip(within * (1 << FINE_BITS), 0, (1 << FINE_BITS) - 1).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(hilbert(np.stack(ranks, 1), BITS + FINE_BITS))], names=["doc_id", "n_tokens", "place"])
 
     return run
 
 
 def stretches(sizes: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, place, stretch``: where each document lies on the curve, and its stretch's number."""
+    """``doc_id, n_tokens, place, stretch``: where each document lies on the curve, and its stretch's name."""
     shares = [k / (1 << BITS) for k in range(1, 1 << BITS)]
-    row = sizes.agg(*[F.percentile_approx(f"x{k}", shares, 10_000).alias(f"x{k}") for k in range(DIMENSIONS)]).collect()[0]
-    cuts = [row[f"x{k}"] or [] for k in range(DIMENSIONS)]
-    placed = sizes.mapInArrow(_placed(cuts), "doc_id bigint, n_tokens bigint, place bigint")
-    cell = F.shiftright("place", DIMENSIONS * BITS - CELL_BITS)
-    tokens = placed.groupBy(cell.alias("cell")).agg(F.sum("n_tokens").alias("tokens"))
-    # at most 2**CELL_BITS rows: one window over all of them is small, and so is the table to broadcast
-    before = F.coalesce(F.sum("tokens").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = tokens.select("cell", F.ceil(F.col("tokens") / STRETCH).alias("parts"), F.floor(before / STRETCH).alias("stretch"))
-    split = F.lit(1 << 36) + F.shiftleft(F.col("cell").cast("bigint"), 22) + F.pmod(F.xxhash64("doc_id"), F.col("parts"))
-    return placed.withColumn("cell", cell).join(F.broadcast(cells), "cell").select("doc_id", "n_tokens", "place", F.when(F.col("parts") > 1, split).otherwise(F.col("stretch")).alias("stretch"))
+    numbers = range(DIMENSIONS)
+    row = sizes.agg(*[F.percentile_approx(f"x{k}", shares, 10_000).alias(f"x{k}") for k in numbers], *[f(f"x{k}").alias(f"{n}{k}") for k in numbers for n, f in (("low", F.min), ("high", F.max))]).collect()[0]
+    cuts = [[row[f"low{k}"], *row[f"x{k}"], row[f"high{k}"]] if row[f"x{k}"] else [0.0, 0.0] for k in numbers]
+    rest = materialize(sizes.mapInArrow(_placed(cuts), "doc_id bigint, n_tokens bigint, place bigint"), "placed").withColumn("parent", F.lit(0).cast("bigint"))
+    bits, out = DIMENSIONS * (BITS + FINE_BITS), []
+    for level in range(1, bits // CELL_BITS + 1):
+        rows = rest.withColumn("cell", F.shiftright("place", bits - level * CELL_BITS))
+        tokens = rows.groupBy("parent", "cell").agg(F.sum("n_tokens").alias("tokens"))
+        # a parent has at most 2**CELL_BITS cells, so its window is small
+        before = F.coalesce(F.sum("tokens").over(Window.partitionBy("parent").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cells = materialize(tokens.select("parent", "cell", "tokens", F.floor(before / STRETCH).alias("nth")), "cells")
+        size, hot = cells.agg(F.count("*"), F.count_if(F.col("tokens") > STRETCH)).collect()[0]
+        held = rows.drop("tokens").join(F.broadcast(cells) if size <= BROADCAST_MOST else cells, ["parent", "cell"])
+        out.append(held.where(F.col("tokens") <= STRETCH).select("doc_id", "n_tokens", "place", F.concat_ws("-", F.lit(level), "parent", "nth").alias("stretch")))
+        rest = held.where(F.col("tokens") > STRETCH).select("doc_id", "n_tokens", "place", F.col("cell").alias("parent"), "tokens")
+        if not hot:
+            break
+    else:
+        part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("tokens") / STRETCH))
+        out.append(rest.select("doc_id", "n_tokens", "place", F.concat_ws("-", F.lit("same"), "place", part).alias("stretch")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def pack(ids: np.ndarray, tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,11 +212,11 @@ def sequences(placed: DataFrame, capacity: int) -> DataFrame:
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["place", "doc_id"], kind="stable")
-        ids = rows["doc_id"].to_numpy()
+        ids, name = rows["doc_id"].to_numpy(), rows["stretch"].iloc[0]
         item, piece, size, sequence, offset = pack(ids, rows["n_tokens"].to_numpy(), capacity)
-        return pd.DataFrame({"doc_id": ids[item], "piece": piece, "n_tokens": size, "sequence_id": (int(rows["stretch"].iloc[0]) << 20) + sequence, "start": offset})
+        return pd.DataFrame({"doc_id": ids[item], "piece": piece, "n_tokens": size, "sequence_id": [f"{name}-{k}" for k in sequence.tolist()], "start": offset})
 
-    return placed.groupBy("stretch").applyInPandas(packed, "doc_id bigint, piece int, n_tokens bigint, sequence_id bigint, start bigint")
+    return placed.groupBy("stretch").applyInPandas(packed, "doc_id bigint, piece int, n_tokens bigint, sequence_id string, start bigint")
 
 
 def unused(packed: DataFrame, capacity: int) -> DataFrame:

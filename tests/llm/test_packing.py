@@ -72,6 +72,25 @@ def test_hot_cell_is_split(spark, monkeypatch):
     assert len(found) == 3000 and found.groupby("sequence_id")["n_tokens"].sum().max() <= 64
 
 
+@needs_vocabulary
+def test_large_cells_keep_the_order_of_the_curve(spark, monkeypatch):
+    """Every cell of the first level is too large; its documents stay in the order of the curve, whatever cells are sent or joined."""
+    monkeypatch.setattr(packing, "STRETCH", 1500)
+    monkeypatch.setattr(packing, "CELL_BITS", 4)
+    rng = np.random.default_rng(2)
+    words = [f"word{k}" for k in range(300)]
+    df = spark.createDataFrame([(i, " ".join(words[int(k)] for k in rng.integers(0, 300, rng.integers(5, 60)))) for i in range(1500)] + [(5000 + i, "one and the same text") for i in range(900)], "doc_id bigint, text string")
+    sizes = packing.sized(df)
+    found = packing.stretches(sizes).toPandas()
+    assert len(found) == 2400 and found["stretch"].str[0].isin(["1"]).mean() < 0.2
+    spans = found[~found["stretch"].str.startswith("same")].groupby("stretch").agg(lo=("place", "min"), hi=("place", "max"), n=("n_tokens", "sum")).sort_values("lo")
+    assert (spans["lo"].to_numpy()[1:] > spans["hi"].to_numpy()[:-1]).all() and spans["n"].max() <= 2 * 1500 + 200
+    assert found[found["stretch"].str.startswith("same")].groupby("place")["stretch"].nunique().max() >= 3
+    monkeypatch.setattr(packing, "BROADCAST_MOST", 0)
+    again = packing.stretches(sizes).toPandas()
+    assert found.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
+
+
 @needs_vocabulary
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
