@@ -128,9 +128,9 @@ def p5_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.round(F.max("coverage"), 6).alias("max_coverage"))
 
 
-def assigned_subjects(spark: SparkSession, d: str) -> DataFrame:
+def assigned_subjects(spark: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:
     documents = table(spark, d, "documents")
-    return subjects.assign(documents, subjects.train(documents, table(spark, d, "subject_labels"), table(spark, d, "subjects")))
+    return subjects.assign(documents, subjects.train(documents, table(spark, d, "subject_labels"), table(spark, d, "subjects")), keep)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +138,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_composition(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.composition(table(spark, d, "documents"), assigned_subjects(spark, d))
+    return subjects.composition(assigned_subjects(spark, d, ("source",)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

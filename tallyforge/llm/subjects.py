@@ -2,15 +2,17 @@
 
 A text is a bag of words; a word's vector is the mean of the embeddings of its own and its character
 n-grams' buckets (``BUCKETS`` of them, by hash, so unseen words have vectors too); a text's vector is the mean of its words'
-vectors, and every subject has its own logistic output on it. All is trained by gradient descent whose
-gradients are computed on the partitions of the training rows and summed in every round before one step is taken.
+vectors, and every subject has its own logistic output on it. All is trained by gradient descent (Adam) on the partitions of
+the training rows: in every round each takes ``STEPS`` steps on its own rows, and then what their gradients have made of
+the parameters is averaged, by their numbers of rows, for all.
 
 Training is in two parts. The first takes whole labelled documents. The second takes their sentences:
 each is given the one of its document's subjects that the model so far scores highest, twice over. A
 sentence that is at home under every subject, such as page furniture, thereby ends below all of them.
 
 Every document is scored in whole: sentence by sentence, a sentence counting with its length for its best
-subject if that scores above ``SCORE``; the document has the subjects that reach ``SHARE`` of its length.
+subject if that scores above ``SCORE``; the document has the subjects that reach ``SHARE`` of its length, at most the
+``MOST`` with the largest shares (a parameter: a document treats one to three subjects).
 
 Training uses at most ``TRAIN_MOST`` labelled documents, those with the smallest hash of ``doc_id``; counts
 and scores cover all documents. Null, empty and wordless texts have no subject. Labels of unknown subjects
@@ -22,7 +24,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,8 @@ from tallyforge.session import materialize
 
 TRAIN_MOST, PARTS = 1200, 6
 BUCKETS, SIZE, GRAMS = 1 << 14, 16, (3, 4, 5)
-ROUNDS, SENTENCE_ROUNDS, SENTENCE_PASSES, RATE, SENTENCE_RATE = 30, 20, 2, 0.05, 0.1
-#: A little above an eighth, so that one sentence in passing in a short text stays below.
-SCORE, SHARE = 0.3, 0.14
+STEPS, ROUNDS, SENTENCE_ROUNDS, SENTENCE_PASSES, RATE, SENTENCE_RATE = 5, 10, 6, 2, 0.05, 0.1
+SCORE, SHARE = 0.3, 0.125
 #: A document has at most so many subjects: those with the largest shares.
 MOST = 3
 
@@ -111,51 +112,63 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(rows), np.concatenate(words), np.concatenate(shares), np.concatenate(at).astype(np.int64), np.concatenate(targets).astype(np.int64), n
 
 
-def _gradient(state, vocabulary):
-    """One row a partition: its part of the gradient, and how many rows it is over."""
+def _gradient(params: list[np.ndarray], vocabulary: tuple[np.ndarray, np.ndarray, np.ndarray], entries: tuple) -> list[np.ndarray]:
+    """The gradient of the loss over the rows of ``entries``, a sum."""
+    embedding, weight, bias = params
+    word_of, bucket_of, part = vocabulary
+    rows, words, shares, at, targets, n = entries
+    size = int(word_of.max()) + 1
+    vectors = _times(word_of, bucket_of, part, embedding, size)
+    hidden = _times(rows, words, shares, vectors, n)
+    wanted = np.zeros((n, len(bias)), np.float32)
+    wanted[at, targets] = 1
+    over = 1 / (1 + np.exp(-(hidden @ weight + bias))) - wanted
+    back = _times(words, rows, shares, over @ weight.T, size)
+    return [_times(bucket_of, word_of, part, back, BUCKETS), hidden.T @ over, over.sum(0)]
+
+
+def _steps(state, vocabulary, steps: int, rate: float):
+    """One row a partition: the parameters and their moments after its own steps, and how many rows they are over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embedding, weight, bias = state.value
-        word_of, bucket_of, part = vocabulary.value
-        rows, words, shares, at, targets, n = _entries(batches)
+        entries = _entries(batches)
+        n = entries[-1]
         if not n:
             return
-        size = int(word_of.max()) + 1
-        vectors = _times(word_of, bucket_of, part, embedding, size)
-        hidden = _times(rows, words, shares, vectors, n)
-        wanted = np.zeros((n, len(bias)), np.float32)
-        wanted[at, targets] = 1
-        over = 1 / (1 + np.exp(-(hidden @ weight + bias))) - wanted
-        back = _times(words, rows, shares, over @ weight.T, size)
-        grads = [_times(bucket_of, word_of, part, back, BUCKETS), hidden.T @ over, over.sum(0)]
-        blob = b"".join(np.ascontiguousarray(g, np.float32).tobytes() for g in grads)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([blob], pa.binary())], names=["n", "gradient"])
+        t, params, first, second = state.value
+        params, first, second = ([x.copy() for x in own] for own in (params, first, second))
+        for _ in range(steps):
+            t += 1
+            for k, g in enumerate(_gradient(params, vocabulary.value, entries)):
+                g = g / n
+                first[k] = 0.9 * first[k] + 0.1 * g
+                second[k] = 0.99 * second[k] + 0.01 * g * g
+                params[k] = params[k] - rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-9)
+        blob = b"".join(np.ascontiguousarray(x, np.float32).tobytes() for own in (params, first, second) for x in own)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([blob], pa.binary())], names=["n", "state"])
 
     return run
 
 
-def _descend(model: Model, rows: DataFrame, vocabulary, rounds: int, rate: float) -> Model:
-    """``rounds`` steps of Adam on the gradient over all rows."""
+def _descend(model: Model, rows: DataFrame, vocabulary, rounds: int, rate: float, steps: int = STEPS) -> Model:
+    """``rounds`` of ``steps`` steps of Adam on each partition's rows, averaged after every round."""
     spark = rows.sparkSession
-    params = [p.copy() for p in model.parts]
-    first = [np.zeros_like(p) for p in params]
-    second = [np.zeros_like(p) for p in params]
-    for t in range(1, rounds + 1):
-        state = spark.sparkContext.broadcast(params)
-        found = rows.mapInArrow(_gradient(state, vocabulary), "n bigint, gradient binary").collect()  # one row of fixed size a partition
+    parts = [[p.astype(np.float32) for p in model.parts], *([np.zeros_like(p, np.float32) for p in model.parts] for _ in range(2))]
+    for r in range(rounds):
+        state = spark.sparkContext.broadcast((r * steps, *parts))
+        found = rows.mapInArrow(_steps(state, vocabulary, steps, rate), "n bigint, state binary").collect()  # one row of fixed size a partition
         state.destroy()
-        total = sum(r["n"] for r in found)
+        total = sum(x["n"] for x in found)
         if not total:
             break
-        flat = np.sum([np.frombuffer(r["gradient"], np.float32) for r in found], 0) / total
+        found.sort(key=lambda x: (x["n"], bytes(x["state"][:64])))  # the sum in one order, whichever task ends first
+        flat = np.sum([np.frombuffer(x["state"], np.float32) * np.float32(x["n"] / total) for x in found], 0, dtype=np.float32)
         at = 0
-        for k, p in enumerate(params):
-            g = flat[at : at + p.size].reshape(p.shape)
-            at += p.size
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            params[k] = p - rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-9)
-    return Model(model.subjects, *[p.astype(np.float32) for p in params])
+        for own in parts:
+            for k, p in enumerate(own):
+                own[k] = flat[at : at + p.size].reshape(p.shape)
+                at += p.size
+    return Model(model.subjects, *parts[0])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +200,11 @@ def _encoded(index):
     return run
 
 
-def _assigned(model: Model, vocabulary):
-    """Each sentence's target: the best-scored of its document's subjects."""
+def _assigned(held, vocabulary):
+    """Each sentence's target: the best-scored of its document's subjects. ``held`` has a model's subjects and arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*held.value)
         word_of, bucket_of, part = vocabulary.value
         vectors = _times(word_of, bucket_of, part, model.embedding, int(word_of.max()) + 1) @ model.weight
         for batch in batches:
@@ -231,7 +245,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, train_mo
     model = _descend(Model.fresh(names), whole, vocabulary, ROUNDS, RATE)
     parts = materialize(coded.where("number > 0").coalesce(PARTS), "train-sentences")
     for _ in range(SENTENCE_PASSES):
-        rows = materialize(parts.mapInArrow(_assigned(model, vocabulary), schema).coalesce(PARTS), "train-assigned").coalesce(PARTS)
+        rows = materialize(parts.mapInArrow(_assigned(sc.broadcast((model.subjects, *model.parts)), vocabulary), schema).coalesce(PARTS), "train-assigned").coalesce(PARTS)
         model = _descend(model, rows, vocabulary, SENTENCE_ROUNDS, SENTENCE_RATE)
     return model
 
@@ -296,33 +310,36 @@ def subjects_of(texts: list[str | None], scores: WordScores) -> list[list[int]]:
     return out
 
 
-def _scored(model):
+def _scored(held, kept: list[str]):
+    """``held`` has a model's subjects and arrays, which every executor can read without this package."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(model.value)
+        model = Model(*held.value)
+        scores = WordScores(model)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 found = subjects_of(part.column("text").to_pylist(), scores)
-                names = [[model.value.subjects[s] for s in x] for x in found]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "subjects"])
+                names = [[model.subjects[s] for s in x] for x in found]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(names, pa.list_(pa.string()))], names=[*kept, "subjects"])
 
     return run
 
 
-def assign(documents: DataFrame, model: Model | None) -> DataFrame:
-    """``doc_id, subjects`` (an array, possibly empty) of every row of ``documents(doc_id, text)``."""
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def assign(documents: DataFrame, model: Model | None, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, subjects`` (an array, possibly empty) of every row of ``documents(doc_id, text)``, with the columns to ``keep``."""
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keep, "text")
     if model is None:
-        return docs.select("doc_id", F.array().cast("array<string>").alias("subjects"))
+        return docs.select("doc_id", *keep, F.array().cast("array<string>").alias("subjects"))
     # about a megabyte, whatever the corpus
-    return docs.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), "doc_id bigint, subjects array<string>")
+    held = docs.sparkSession.sparkContext.broadcast((model.subjects, *model.parts))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "subjects array<string>"])
+    return docs.mapInArrow(_scored(held, ["doc_id", *keep]), schema)
 
 
-def composition(documents: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Documents by subject and their share, in the corpus (null source, ``scope`` corpus) and per source."""
-    sources = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("source").alias("source"))
-    # one row a document on either side; doc_id is unique
-    rows = assigned.join(sources, "doc_id").groupBy("source", "subjects").agg(F.count("*").alias("n"))
+def composition(assigned: DataFrame) -> DataFrame:
+    """Documents by subject and their share, in the corpus (null source, ``scope`` corpus) and per source, from ``assigned(source, subjects)``."""
+    rows = assigned.groupBy(F.lower("source").alias("source"), "subjects").agg(F.count("*").alias("n"))
     per = rows.groupBy("source").agg(F.sum("n").alias("n_source"))
     cells = rows.select("source", F.explode("subjects").alias("subject"), "n").groupBy("source", "subject").agg(F.sum("n").alias("n_docs"))
     by_source = cells.join(per, cells["source"].eqNullSafe(per["source"])).select(F.lit("source").alias("scope"), cells["source"], "subject", "n_docs", (F.col("n_docs") / F.col("n_source")).alias("share"))
