@@ -25,8 +25,8 @@ from tallyforge.llm.reqsketch import Sketch
 SHARES = (0.5, 0.9, 0.95, 0.99, 0.999)
 #: Parts in which the partial sketches of one group are merged at first.
 FAN = 16
-#: Groups of one task above which their partial sketches are handed on early.
-GROUPS_MOST = 50_000
+#: Groups and bytes of one task above which its partial sketches are handed on early.
+GROUPS_MOST, BYTES_MOST = 50_000, 64 << 20
 
 _STATE = "part int, n_null bigint, n_nan bigint, n_values bigint, sketch binary"
 
@@ -34,7 +34,7 @@ _STATE = "part int, n_null bigint, n_nan bigint, n_values bigint, sketch binary"
 def _partial(keys: Sequence[str], value: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
-        part = None
+        part, size = None, 0
 
         def flush() -> pa.RecordBatch:
             groups = list(held.items())
@@ -71,15 +71,19 @@ def _partial(keys: Sequence[str], value: str):
                 key = tuple(reversed(key))
                 if key not in held:
                     held[key] = [0, 0, Sketch(xxhash.xxh64_intdigest(repr((key, part)).encode()))]
+                    size += 500
                 state = held[key]
                 gone = null[rows]
                 state[0] += int(gone.sum())
                 kept = number[rows][~gone]
                 nan = np.isnan(kept)
                 state[1] += int(nan.sum())
+                size -= state[2].nbytes
                 state[2].add(kept[~nan])
-            if len(held) > GROUPS_MOST:
+                size += state[2].nbytes
+            if len(held) > GROUPS_MOST or size > BYTES_MOST:
                 yield flush()
+                size = 0
         if held:
             yield flush()
 

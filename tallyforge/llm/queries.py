@@ -44,25 +44,32 @@ def over_days(daily: DataFrame) -> DataFrame:
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Of every benchmark, run and day; and of every benchmark and run on each day, where ``on_day`` is not null."""
     daily = daily_sketches(spark, d)
-    each_day = percentiles.percentiles(daily, ["table_name", "dim", "key", "day"]).withColumnRenamed("day", "on_day")
+    each_day = percentiles.percentiles(daily, ["table_name", "dim", "key", "day"]).select("table_name", "dim", "key", F.coalesce("day", F.lit("unknown")).alias("on_day"), "n_null", "n_nan", "n_values", "share", "value")
     return each_day.unionByName(over_days(daily).withColumn("on_day", F.lit(None).cast("string")))
 
 
+#: Groups up to this number are sent to every task; more are joined by a shuffle.
+GROUPS_BROADCAST = 500_000
+
+
 def p1_rank_error(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each percentile of ``p1_percentiles`` that is merged over days (``on_day`` null) is within the stated error, against the exact ranks of all rows."""
-    rows = latencies(spark, d)
-    days = rows.where("dim = 'run_id'").select("table_name", F.lit("day").alias("dim"), F.col("day").cast("string").alias("key"), "latency_ms")
-    values = rows.select("table_name", "dim", "key", "latency_ms").unionByName(days).where("latency_ms IS NOT NULL AND NOT isnan(latency_ms)")
-    found = over_days(daily_sketches(spark, d)).where("n_values > 0")
-    one = found.groupBy("table_name", "dim", "key").agg(F.first("n_values").alias("n_values"), F.sort_array(F.collect_list(F.struct("share", "value"))).alias("p"))
-    on = (values["table_name"] == one["table_name"]) & (values["dim"] == one["dim"]) & values["key"].eqNullSafe(one["key"])
+    """Whether each percentile of ``p1_percentiles``, of single days and merged over them, is within the stated error, against the exact ranks of all rows."""
+    rows = latencies(spark, d).withColumn("on_day", F.coalesce(F.col("day").cast("string"), F.lit("unknown")))
+    merged = rows.withColumn("on_day", F.lit(None).cast("string"))
+    days = merged.where("dim = 'run_id'").select("table_name", F.lit("day").alias("dim"), F.col("day").cast("string").alias("key"), "on_day", "latency_ms")
+    keys = ["table_name", "dim", "key", "on_day"]
+    values = rows.select(*keys, "latency_ms").unionByName(merged.select(*keys, "latency_ms")).unionByName(days).where("latency_ms IS NOT NULL AND NOT isnan(latency_ms)")
+    found = p1_percentiles(spark, d).where("n_values > 0")
+    one = materialize(found.groupBy(*keys).agg(F.first("n_values").alias("n_values"), F.sort_array(F.collect_list(F.struct("share", "value"))).alias("p")), "found")
+    small = F.broadcast(one) if one.count() <= GROUPS_BROADCAST else one
+    on = (values["table_name"] == one["table_name"]) & (values["dim"] == one["dim"]) & values["key"].eqNullSafe(one["key"]) & values["on_day"].eqNullSafe(one["on_day"])
     ranks = [F.struct(F.count_if(values["latency_ms"] < F.col("p")[k]["value"]).alias("below"), F.count_if(values["latency_ms"] <= F.col("p")[k]["value"]).alias("upto")) for k in range(len(percentiles.SHARES))]
-    counted = values.join(one, on).groupBy(one["table_name"], one["dim"], one["key"], "n_values").agg(F.array(*ranks).alias("r"))
+    counted = values.join(small, on).groupBy(*[one[k] for k in keys], "n_values").agg(F.array(*ranks).alias("r"))
     # the exact rank lies between the ranks of the value's first and last occurrence
     n, wanted = F.col("n_values"), [F.ceil(F.col("n_values") * s - 1e-9) for s in percentiles.SHARES]
     off = [F.greatest(F.lit(0), F.col("r")[k]["below"] + 1 - w, w - F.col("r")[k]["upto"]) for k, w in enumerate(wanted)]
     within = [o <= F.greatest(F.lit(1.0), reqsketch.ERROR * (n - w)) for o, w in zip(off, wanted)]
-    return counted.select("table_name", "dim", "key", "n_values", *[x.alias(f"p{s * 100:g}".replace(".", "_") + "_within") for x, s in zip(within, percentiles.SHARES)])
+    return counted.select(*keys, "n_values", *[x.alias(f"p{s * 100:g}".replace(".", "_") + "_within") for x, s in zip(within, percentiles.SHARES)])
 
 
 def stored_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -161,11 +168,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Exact counts and ranks of all rows; the sketch must be within its bound everywhere.
 _P1_ROWS = """
 WITH keyed AS (
-  SELECT 'teacher_outputs' AS table_name, 'benchmark' AS dim, lower(trim(benchmark)) AS key, latency_ms FROM teacher_outputs
-  UNION ALL SELECT 'teacher_outputs', 'run_id', run_id, latency_ms FROM teacher_outputs
-  UNION ALL SELECT 'teacher_outputs', 'day', strftime(generated_at, '%Y-%m-%d'), latency_ms FROM teacher_outputs
-  UNION ALL SELECT 'gsm8k_unscorable', 'run_id', run_id, latency_ms FROM gsm8k_unscorable
-  UNION ALL SELECT 'gsm8k_unscorable', 'day', strftime(evaluated_at, '%Y-%m-%d'), latency_ms FROM gsm8k_unscorable)
+  SELECT 'teacher_outputs' AS table_name, 'benchmark' AS dim, lower(trim(benchmark)) AS key, strftime(generated_at, '%Y-%m-%d') AS on_day, latency_ms FROM teacher_outputs
+  UNION ALL SELECT 'teacher_outputs', 'run_id', run_id, strftime(generated_at, '%Y-%m-%d'), latency_ms FROM teacher_outputs
+  UNION ALL SELECT 'gsm8k_unscorable', 'run_id', run_id, strftime(evaluated_at, '%Y-%m-%d'), latency_ms FROM gsm8k_unscorable),
+every AS (
+  SELECT * FROM keyed UNION ALL SELECT table_name, dim, key, NULL, latency_ms FROM keyed
+  UNION ALL SELECT table_name, 'day', on_day, NULL, latency_ms FROM keyed WHERE dim = 'run_id')
 """
 
 
@@ -173,7 +181,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_rank_error": _P1_ROWS
         + """
-SELECT table_name, dim, key, count(*) AS n_values, true AS p50_within, true AS p90_within, true AS p95_within, true AS p99_within, true AS p99_9_within
-FROM keyed WHERE latency_ms IS NOT NULL AND NOT isnan(latency_ms) GROUP BY ALL
+SELECT table_name, dim, key, on_day, count(*) AS n_values, true AS p50_within, true AS p90_within, true AS p95_within, true AS p99_within, true AS p99_9_within
+FROM every WHERE latency_ms IS NOT NULL AND NOT isnan(latency_ms) GROUP BY ALL
 """,
     }

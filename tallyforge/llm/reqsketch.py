@@ -61,6 +61,10 @@ class Sketch:
         self.k, self.n, self.levels = k, 0, [_Level(k)]
         self.rng = np.random.default_rng(seed & (2**63 - 1))
 
+    @property
+    def nbytes(self) -> int:
+        return sum(level.values.nbytes for level in self.levels)
+
     def add(self, values: np.ndarray) -> None:
         """Values must be finite or infinite numbers; NaN has no rank and is refused."""
         if len(values):
