@@ -104,17 +104,17 @@ def _closing_pair(text: str) -> str:
 
 
 def _key_pattern(key: str) -> tuple[str, re.Pattern, re.Pattern]:
-    """The longest word of a closing key in lower case, if it has one, the key's part before it, and the rest with more of its sentence behind it."""
+    """The longest word of a closing key in lower case, if it has one; the key's part before it, or else before its longest mark; and the rest with more of its sentence behind it."""
     parts = key.split(" ")
 
     def one(p: str) -> str:
         if p == "\\n":
-            return r"\n+"
+            return r"\n\n*"  # one break first, for which the search is fast
         if p == "0":
             return r"\d+(?:[.,]\d+)*(?!\d)"
         return r"[A-Z][^\W\d_A-Z]+" if p == "<C>" else f"(?i:{re.escape(p)})" if p[0].isalpha() else re.escape(p)
 
-    at = max(range(len(parts)), key=lambda k: (parts[k][0].isalpha() and len(parts[k]), -k))
+    at = max(range(len(parts)), key=lambda k: (parts[k][0].isalpha() and len(parts[k]), parts[k] not in ("0", "<C>") and len(parts[k].replace("\\n", "n")), -k))
     literal = parts[at] if parts[at][0].isalpha() else ""
     head = r"(?<![^\W_])" if parts[0][0].isalnum() else ""
     # a last word may be the beginning of a longer one, which goes on as well
@@ -169,7 +169,8 @@ def _following(texts: list[str], patterns: list[tuple[str, str, re.Pattern, re.P
         low = "".join(x.lower() if len(x.lower()) == 1 else x for x in whole)
     for key, literal, before, rest in patterns:
         if not literal:
-            found[key] += len(rest.findall(whole))
+            starts = [x.start() for x in rest.finditer(whole)]
+            found[key] += sum(before.search(whole, max(0, x - 60), x) is not None for x in starts) if before.pattern != r"\Z" else len(starts)
             continue
         at = low.find(literal)
         while at >= 0:
