@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-REQUEST = "run_id STRING, request_rate DOUBLE, status INT, latency_ms DOUBLE, ttfb_ms DOUBLE, output_tokens BIGINT, error STRING"
 PROMPT = "id STRING, benchmark STRING, prompt STRING"
-NUMERIC_EXAMPLE = "question STRING, reference_answer STRING, full_solution STRING"
-NUMERIC_RESULT = "index BIGINT, question STRING, reference_answer STRING, model_response STRING, predicted_answer STRING, correct BOOLEAN, scorable BOOLEAN, latency_ms DOUBLE, error STRING"
-BOXED_EXAMPLE = "problem STRING, level STRING, type STRING, full_solution STRING, reference_answer STRING, reference_is_boxed BOOLEAN"
-CHOICE_RAW = "id STRING, question STRING, choices STRUCT<label: ARRAY<STRING>, text: ARRAY<STRING>>, answerKey STRING, category STRING"
-MIXED_EXAMPLE = "prompt STRING, reference_answer STRING, answer_type STRING, source_dataset STRING"
 TEACHER_OUTPUT = (
     "id STRING, benchmark STRING, prompt STRING, teacher_completion STRING, teacher_model STRING, generation_parameters STRUCT<temperature: DOUBLE, top_p: DOUBLE, max_tokens: INT>,"
     " latency_ms DOUBLE, finish_reason STRING, error STRING"
