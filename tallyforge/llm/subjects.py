@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.session import materialize
 
-TRAIN_MOST, PARTS = 1200, 6
+TRAIN_MOST, PARTS = 2400, 6
 BUCKETS, SIZE, GRAMS = 1 << 14, 16, (3, 4, 5)
 STEPS, ROUNDS, SENTENCE_ROUNDS, SENTENCE_PASSES, RATE, SENTENCE_RATE = 5, 10, 6, 2, 0.05, 0.1
 SCORE, SHARE = 0.3, 0.125
