@@ -24,10 +24,12 @@ import bisect
 import sys
 from collections.abc import Iterator
 from functools import reduce
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,16 +46,21 @@ STRETCH, NEIGHBOURS = 4_000_000, 2048
 BROADCAST_MOST = 1_000_000
 
 
-def tokenizer(folder: str = TOKENIZERS):
-    """The byte-level vocabulary's encoder, loaded once in each process."""
+def vocabulary(folder: str = TOKENIZERS) -> bytes:
+    """The vocabulary's file, about a megabyte. Only the driver reads it; the executors are sent it."""
+    return Path(f"{folder}/{VOCABULARY}").read_bytes()
+
+
+def tokenizer(file: bytes):
+    """The byte-level vocabulary's encoder, made once in each process."""
     held = sys.__dict__.setdefault("_tallyforge_tokenizers", {})
-    if folder not in held:
+    name = xxhash.xxh64_hexdigest(file)
+    if name not in held:
         import tiktoken
 
-        with open(f"{folder}/{VOCABULARY}", "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        held[folder] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return held[folder]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
+        held[name] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return held[name]
 
 
 def projection(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,9 +70,9 @@ def projection(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (ids % np.uint64(HASHED)).astype(np.int64), np.where(ids >> np.uint64(63), 1.0, -1.0).astype(np.float32), matrix
 
 
-def _sized(folder: str):
+def _sized(file):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(folder)
+        coder = tokenizer(file.value)
         bucket, sign, matrix = projection(coder.n_vocab)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -87,7 +94,7 @@ def sized(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """``doc_id, n_tokens`` and the projected vector of every non-empty text, written once."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL AND text <> ''")
     schema = "doc_id bigint, n_tokens bigint, " + ", ".join(f"x{k} float" for k in range(DIMENSIONS))
-    return materialize(docs.mapInArrow(_sized(folder), schema), "sized")
+    return materialize(docs.mapInArrow(_sized(docs.sparkSession.sparkContext.broadcast(vocabulary(folder))), schema), "sized")
 
 
 def hilbert(ranks: np.ndarray, bits: int) -> np.ndarray:

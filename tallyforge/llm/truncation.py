@@ -47,7 +47,7 @@ SIGNERS = 10
 WORD_CLOSES, PAIR_CLOSES, PAIR_LEAST = 0.08, 0.01, 2
 #: Closing words up to this number are looked up in each task; beyond it all are counted and joined.
 LOOKUP_MOST = 100_000
-FLUSH, CHUNK = 200_000, 256
+FLUSH, CHUNK, BATCH = 200_000, 256, 10_000
 
 #: A token between blanks: its word and what follows it; a stop right behind; the word or number of the one before.
 _OWN_WORD = re.compile(r"^\W*([^\W\d_]+(?:['’\-][^\W\d_]+)*)(\W*)$")
@@ -70,7 +70,7 @@ _ARROW = pa.schema(
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How each text closes; and of each that may go on its near-copy keys and mark."""
     hashes = WordHashes()
-    for batch in batches:
+    for batch in (b.slice(lo, BATCH) for b in batches for lo in range(0, b.num_rows, BATCH)):
         texts = batch.column("text").to_pylist()
         states = [closing.closing_state(t) for t in texts]
         pairs, copies, signed, opened, tails, rows = [], [], [], [], [], []

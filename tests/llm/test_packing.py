@@ -46,7 +46,7 @@ def test_round_trip_of_documents(spark):
     rows += [(1000, None), (1001, ""), (1002, " \n"), (1003, "lorem ipsum dolor " * 5000), (1004, "note 3 on the tunnel and the gearbox " * 4), (1005, "日本語のテキスト。")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, n_tokens string").repartition(4)
     sizes = packing.sized(df)
-    coder = packing.tokenizer()
+    coder = packing.tokenizer(packing.vocabulary())
     want = {i: len(coder.encode_ordinary(t)) for i, t in rows if t}
     assert {r["doc_id"]: r["n_tokens"] for r in sizes.collect()} == want
     placed = packing.stretches(sizes)
