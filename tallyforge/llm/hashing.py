@@ -15,8 +15,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def letter(word: str) -> int:
-    """Four bits of a word's first character."""
-    return ord(word[0]) * 0x9E3779B1 >> 28 & 15
+    """Four bits of a word's first letter or digit, or of its first character if it has none."""
+    return ord(next(filter(str.isalnum, word), word[0])) * 0x9E3779B1 >> 28 & 15
 
 
 class WordHashes(dict):

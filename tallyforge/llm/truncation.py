@@ -57,12 +57,12 @@ _NUMBERS = re.compile(r"\d+(?:[.,]\d+)*")
 
 FEATURES = (
     "table_name string, row_id bigint, run_id string, id bigint, state tinyint, key string, word string, pair string, "
-    "text_hash bigint, signed boolean, keys array<bigint>, mark bigint"
+    "text_hash bigint, signed boolean, asks array<struct<key: bigint, mark: bigint>>"
 )
 _ARROW = pa.schema(
     [
         ("table_name", pa.string()), ("row_id", pa.int64()), ("run_id", pa.string()), ("id", pa.int64()), ("state", pa.int8()), ("key", pa.string()), ("word", pa.string()), ("pair", pa.string()),
-        ("text_hash", pa.int64()), ("signed", pa.bool_()), ("keys", pa.list_(pa.int64())), ("mark", pa.int64()),
+        ("text_hash", pa.int64()), ("signed", pa.bool_()), ("asks", pa.list_(pa.struct([("key", pa.int64()), ("mark", pa.int64())]))),
     ]
 )
 
@@ -88,12 +88,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 opened.append(ended[0])
                 tails.append(ended[1])
                 rows.append(k)
-        own, marks = nearcopy.last_keys(hashes.of(list(chain.from_iterable(opened))), np.array([len(x) for x in opened], np.int64), tails)
-        found = dict(zip(rows, zip(own.astype(np.int64).tolist(), marks.astype(np.int64).tolist())))
-        asked = [found.get(k, (None, None)) for k in range(len(texts))]
+        lengths = np.array([len(x) for x in opened], np.int64)
+        of, own, marks = nearcopy.last_keys(hashes.of(list(chain.from_iterable(opened))), lengths, tails)
+        counts = np.zeros(len(texts), np.int64)
+        counts[rows] = np.bincount(of, minlength=len(rows))
+        ends = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+        both = pa.StructArray.from_arrays([pa.array(own.astype(np.int64)), pa.array(marks.astype(np.int64))], names=["key", "mark"])
+        asks = pa.ListArray.from_arrays(ends, both, mask=pa.array(counts == 0))
         columns = [
             *(batch.column(c) for c in ("table_name", "row_id", "run_id", "id")),
-            *([x[0] for x in states], [x[1] or None for x in states], [x[2] or None for x in states], pairs, copies, signed, *([x[k] for x in asked] for k in range(2))),
+            *([x[0] for x in states], [x[1] or None for x in states], [x[2] or None for x in states], pairs, copies, signed),
+            asks,
         ]
         yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
@@ -291,7 +296,7 @@ def truncated(texts: DataFrame, context: DataFrame | None = None) -> DataFrame:
     formulas = [k for k, n in ends.items() if mid.get(k, 0) < KEY_MID * n and _key_word(k) not in parts]
     words = counts.where(F.col("item").startswith("w")).select(F.expr("substring(item, 2)").alias("word"), F.col("n").alias("word_n"), F.col("closing").alias("word_closing"))
     pairs = counts.where(F.col("item").startswith("p")).select(F.expr("substring(item, 2)").alias("pair"), F.col("n").alias("pair_n"), F.col("closing").alias("pair_closing"))
-    opened = feats.where("keys IS NOT NULL").select("id", "keys", "mark")
+    opened = feats.where("asks IS NOT NULL").select("id", "asks")
     copies = nearcopy.cut_copies(texts.select("id", "text"), opened).withColumn("copy", F.lit(True))
     closes = F.coalesce(F.col("word_closing") >= WORD_CLOSES * F.col("word_n"), F.lit(False)) | F.coalesce(
         (F.col("pair_closing") >= PAIR_LEAST) & (F.col("pair_closing") >= PAIR_CLOSES * F.col("pair_n")), F.lit(False)
